@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import line_dedup, simhash
+from folioscope.llm import compression, decontaminate, line_dedup, quality, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_compression_bands": compression.query,
         "op3_line_dedup": line_dedup.query,
         "op4_simhash": simhash.query,
+        "op5_decontaminate": decontaminate.query,
+        "op7_quality": quality.query,
+        "op9_toxicity": toxicity.query,
     }
 
 
