@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import compression, decontaminate, line_dedup, quality, simhash, toxicity
+from folioscope.llm import compression, decontaminate, language_model, line_dedup, quality, simhash, token_files, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,8 +15,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": line_dedup.query,
         "op4_simhash": simhash.query,
         "op5_decontaminate": decontaminate.query,
+        "op6_warc": warc.query,
         "op7_quality": quality.query,
+        "op8_language_model": language_model.query,
         "op9_toxicity": toxicity.query,
+        "op10_token_files": token_files.query,
     }
 
 
