@@ -97,7 +97,21 @@ def lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range: a polynomial over random byte values, then ``mix``."""
+    """A 64-bit hash of each byte range (in ascending order): a polynomial over random byte values, then ``mix``.
+
+    Long buffers are worked on a slice at a time; the hashes do not depend on that."""
+    if len(buf) > 2 * SLICE and len(starts) > 1:
+        out, i = np.empty(len(starts), np.uint64), 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + SLICE)))
+            a, b = int(starts[i]), int(ends[i:j].max())
+            out[i:j] = _hashed(buf[a:b], starts[i:j] - a, ends[i:j] - a)
+            i = j
+        return out
+    return _hashed(buf, starts, ends)
+
+
+def _hashed(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_LUT[buf] * up[: len(buf)], out=total[1:])
