@@ -48,6 +48,7 @@ class Words:
         starts, ends, first = tb.words(plain, offs)
         h = tb.hashes(plain, starts, ends)
         keys, at, number = np.unique(h, return_index=True, return_inverse=True)
+        self.keys = keys
         self.bucket = (keys >> np.uint64(20)).astype(np.int64) % WORDS
         # the distinct words' bytes with a border before each and four after, then three and five bytes from each border or byte on
         s, n = starts[at], (ends - starts)[at]
@@ -73,6 +74,23 @@ class Words:
         ids[inside] = number[place[inside]] + 1
         self.windows = ids
 
+    @classmethod
+    def joined(cls, parts: list[Words]) -> Words:
+        """The words and windows of several groups of texts as one."""
+        out = cls.__new__(cls)
+        out.keys, at = np.unique(np.concatenate([w.keys for w in parts]), return_index=True)
+        n = np.concatenate([w.n for w in parts])
+        old = np.concatenate([[0], np.cumsum(n)])
+        out.bucket, out.n = np.concatenate([w.bucket for w in parts])[at], n[at]
+        out.split = np.concatenate([[0], np.cumsum(out.n)]).astype(np.int64)
+        out.tri = np.concatenate([w.tri for w in parts])[np.repeat(old[at] - out.split[:-1], out.n) + np.arange(out.split[-1])]
+        number = [np.concatenate([[0], np.searchsorted(out.keys, w.keys) + 1]).astype(np.int32) for w in parts]
+        out.windows = np.concatenate([m[w.windows] for m, w in zip(number, parts, strict=True)])
+        texts = np.concatenate([[0], np.cumsum([len(w.first) - 1 for w in parts])])
+        out.text = np.concatenate([w.text + k for w, k in zip(parts, texts[:-1], strict=True)])
+        out.first = np.concatenate([[0], np.cumsum(np.bincount(out.text, minlength=texts[-1]))])
+        return out
+
     def vectors(self, p: dict) -> np.ndarray:
         """The input of each distinct word; that of no word is 0."""
         out = np.zeros((len(self.bucket) + 1, p["word"].shape[1]), np.float32)
@@ -246,8 +264,7 @@ def fit(texts: list[str | None], y: np.ndarray, share: float, seed: int = 11) ->
     own = order[len(y) // 5 :]
 
     def prepared(rows: np.ndarray) -> Words:
-        data = [(texts[i] or "").encode("utf-8", "surrogatepass") for i in rows]
-        return Words(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64))
+        return Words.joined([Words(buf, offs) for _, buf, offs in tb.slices(pa.array([texts[i] or "" for i in rows], pa.string()))])
 
     words, target = prepared(own), y[own]
     p = new_parameters(seed)

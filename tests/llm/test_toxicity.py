@@ -74,3 +74,10 @@ def test_awkward(spark, texts):
         out = op.scored(df, op.train(df, lab)).collect()
         assert len(out) == len(texts)
         assert all(0 <= r.score <= 1 for r in out)
+
+
+def test_joined_words_are_those_of_all_texts():
+    texts = ["one two three " * 20, "", "two five", "one six " * 30, "é"]
+    whole, parts = op.Words(*joined(texts)), op.Words.joined([op.Words(*joined(texts[:2])), op.Words(*joined(texts[2:]))])
+    for name in ("keys", "bucket", "n", "split", "tri", "windows", "text", "first"):
+        assert np.array_equal(getattr(whole, name), getattr(parts, name)), name
