@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.binsink import read_files, write_files
 from folioscope.llm.store import place, removed, table
-from folioscope.llm.tokens import encoder, vocabulary_path
+from folioscope.llm.tokens import encoder, vocabulary_path, with_end
 
 VOCABULARY, END = "word_bpe_49k.json", 1
 LIMIT, EVERY, BLOCK, FILE, PART = 18, 512, 1 << 18, 8 << 20, 8 << 20
@@ -185,11 +185,13 @@ class Reader:
 
 def _encoded(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = encoder(path, False), np.array([end], "<u2").tobytes()
+        own = encoder(path, False)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + last for x in own.encode([t or "" for t in part.column(1).to_pylist()])], pa.binary())], ["doc_id", "ids"])
+            for at, ids, first in own.encode(batch.column(1)):
+                ids, first = with_end(ids, first, end)
+                n = len(first) - 1
+                blob = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(2 * first), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), blob], ["doc_id", "ids"])
 
     return run
 
