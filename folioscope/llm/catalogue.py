@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import compression, decontaminate, language_model, line_dedup, quality, simhash, token_files, toxicity, warc
+import corpus_pipeline
+from folioscope.llm import compression, decontaminate, language_model, line_dedup, packing, quality, simhash, token_files, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": packing.query,
         "op2_compression_bands": compression.query,
         "op3_line_dedup": line_dedup.query,
         "op4_simhash": simhash.query,
@@ -20,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_model": language_model.query,
         "op9_toxicity": toxicity.query,
         "op10_token_files": token_files.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
