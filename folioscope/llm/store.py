@@ -13,6 +13,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch between the JVM and Python: what a task holds at once does not hang on the length of texts.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes, not only the rows, of the Arrow batches of this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder; sets a temporary one only where the session names none."""
     sc = spark.sparkContext
@@ -30,6 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def place(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
+    small_batches(spark)
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -50,4 +60,5 @@ def removed(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
