@@ -214,4 +214,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: all pages, written and read back."""
     path = place(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path).drop("file")
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
