@@ -3,8 +3,8 @@
 A document's ids, with its end, are cut into whole windows and a tail shorter than one. Tails are dealt by hash to shards
 of about ``SHARD`` tokens. A shard has an inverted index of its tails - for each id the tails that hold it, with their
 BM25 weights; the document frequencies, the number and the mean length of tails are those of all shards. The next unused
-tail seeds a window; BM25 scores of its distinct ids rank the unused tails, and the best of those that still fit are taken
-in turn. When none fits, the best one is cut: it fills the window to the brim, and what is left of it seeds the next. So
+tail seeds a window; BM25 scores of its distinct ids (but for those that over half of all tails hold) rank the unused
+tails, and the best of those that still fit are taken in turn. When none fits, the best one is cut: it fills the window to the brim, and what is left of it seeds the next. So
 every window but the last of a shard is full.
 
 Sizes: documents, shards and the frequencies of the vocabulary's ids are all that a task or the driver holds. Defined
@@ -63,10 +63,10 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Statistics:
-    """idf of every id, and the mean length of tails, over all documents."""
+    """idf of every id, and the mean length of tails, over all documents; ids in over half of all tails say nothing: 0."""
 
     def __init__(self, df: np.ndarray, n: int, tokens: int):
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        self.idf = np.where(2 * df > n, 0, np.log1p((n - df + 0.5) / (df + 0.5))).astype(np.float32)
         self.mean = tokens / max(n, 1)
 
 
@@ -76,6 +76,8 @@ class Inverted:
     def __init__(self, tails: list[np.ndarray], stats: Statistics):
         size = np.array([len(t) for t in tails], np.int64)
         doc, ids = np.repeat(np.arange(len(tails)), size), np.concatenate(tails) if tails else np.zeros(0, np.int64)
+        telling = stats.idf[ids] > 0
+        doc, ids = doc[telling], ids[telling]
         key, tf = np.unique(ids.astype(np.int64) * len(tails) + doc, return_counts=True) if len(ids) else (np.zeros(0, np.int64),) * 2
         ids, self.doc = key // max(len(tails), 1), key % max(len(tails), 1)
         self.weight = stats.idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / stats.mean))

@@ -67,8 +67,10 @@ def lower(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the index of each row's first word (with the total at the end)."""
+def words(buf: np.ndarray, offs: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and the index of each row's first word (with the total at the end).
+
+    cut: bytes within words at which another word begins."""
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
@@ -81,6 +83,9 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     last[:-1] &= ~ink[1:]
     edge = offs[offs > 0] - 1
     last[edge] = ink[edge]
+    if cut is not None:
+        first |= cut
+        last[:-1] |= cut[1:]
     starts = np.flatnonzero(first)
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs)
 

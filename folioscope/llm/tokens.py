@@ -25,6 +25,9 @@ TOGETHER = 2000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: First bytes of white space beyond ASCII, and of what some call so.
+_WIDE = np.zeros(256, bool)
+_WIDE[[0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 #: ASCII punctuation but for the apostrophe, at which both vocabularies cut a word after an ASCII letter.
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -152,7 +155,7 @@ class Encoder:
         edge = offs[:-1][offs[:-1] < offs[1:]]
         bad[edge] |= gap[edge]
         bad[offs[1:][offs[:-1] < offs[1:]] - 1] |= gap[offs[1:][offs[:-1] < offs[1:]] - 1]
-        wide = np.flatnonzero(np.isin(buf, np.array([0xC2, 0xE1, 0xE2, 0xE3, 0xEF], np.uint8)))
+        wide = np.flatnonzero(_WIDE[buf])
         if len(wide):
             a, b, c = buf[wide], buf[np.minimum(wide + 1, n - 1)], buf[np.minimum(wide + 2, n - 1)]
             odd = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & ((b == 0x9A) | (b == 0xA0)) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
@@ -164,26 +167,23 @@ class Encoder:
         special = len(buf) > 1 and bool(((buf[:-1] == 60) & (buf[1:] == 124)).any())  # "<|": keep special tokens whole
         if not self.glue and not special:
             buf = tb.lower(buf)
-        starts, ends, first = tb.words(buf, offs)
+        cut = np.zeros(len(buf), bool)
+        if not special and len(buf):
+            np.logical_and(_LETTER[buf[:-1]], _PUNCTUATION[buf[1:]], out=cut[1:])
+            cut[offs[offs < len(buf)]] = False
+        starts, ends, first = tb.words(buf, offs, cut)
         row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
         kind = np.zeros(len(starts), np.int64)
         whole = np.zeros(0, np.int64)
         if self.glue and len(buf):
             before = buf[np.maximum(starts - 1, 0)]
-            kind = np.where(before == 10, 2, 1)
+            kind = np.where(cut[starts], 0, np.where(before == 10, 2, 1))
             kind[first[:-1][np.diff(first) > 0]] = 0
             uncertain = self._uncertain(buf, offs)
             whole = np.flatnonzero(uncertain)
             if len(whole):
                 keep = ~uncertain[row]
                 starts, ends, row, kind = starts[keep], ends[keep], row[keep], kind[keep]
-        if not special and len(starts):
-            cut = np.flatnonzero(_LETTER[buf[:-1]] & _PUNCTUATION[buf[1:]]) + 1
-            word = np.searchsorted(starts, cut, "right") - 1
-            inside = (word >= 0) & (cut < ends[word]) & (cut > starts[word])
-            cut, word = cut[inside], word[inside]
-            row, kind = np.insert(row, word + 1, row[word]), np.insert(kind, word + 1, 0)
-            starts, ends = np.insert(starts, word + 1, cut), np.insert(ends, word, cut)
         keys = tb.hashes(buf, starts, ends)
         if self.glue:
             keys = tb.mix(keys + kind.astype(np.uint64))

@@ -56,7 +56,7 @@ def plain_scores(tails, q, stats_of):
     out = []
     for d in tails:
         tf = Counter(d)
-        out.append(sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * len(d) / mean)) for t in set(q) if tf[t]))
+        out.append(sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * len(d) / mean)) for t in set(q) if tf[t] and 2 * df[t] <= n))
     return out
 
 
