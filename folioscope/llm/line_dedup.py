@@ -115,11 +115,12 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id and the bounds (a, b) of its windows that occurred earlier."""
     found = written(fingerprints(docs, min_words), "winnowed")
     place = F.struct("doc_id", "at")
-    again = found.groupBy("print").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("print")
-    near = found.join(again, "print", "left_semi").select("doc_id", "content", "a", "b")
+    # Each side of a join is a table of its own, so that Spark can split the partition of a line that stands everywhere.
+    again = written(found.groupBy("print").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("print"), "prints")
+    near = written(found.join(again, "print", "left_semi").select("doc_id", "content", "a", "b"), "near")
     place = F.struct("doc_id", "a")
     firsts = near.groupBy("content").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("content", "lo")
-    return near.join(firsts, "content").where(F.struct("doc_id", "a") > F.col("lo")).select("doc_id", "a", "b")
+    return near.join(written(firsts, "firsts"), "content").where(F.struct("doc_id", "a") > F.col("lo")).select("doc_id", "a", "b")
 
 
 def _cut(columns: list[str]):
