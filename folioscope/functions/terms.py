@@ -83,9 +83,19 @@ def definition_pattern(body: Column) -> Column:
     )
 
 
+#: What a sentence must have, whatever the term, to define it or to state a dependency: these patterns compile once.
+MAY_DEFINE = CASELESS + DEFINES + r"\b|" + NAMED_AS + r"|[:–—-]\s+\S"
+MAY_DEPEND = CASELESS + "(?:" + IS_A + "|" + USES + "|" + USED_FOR + ")"
+
+
 def defines(sentence: Column, body: Column) -> Column:
-    """Whether a sentence reads like a definition."""
-    return F.rlike(sentence, definition_pattern(body))
+    """Whether a sentence reads like a definition. The term's own pattern is only tried where a definition is possible."""
+    return F.when(sentence.rlike(MAY_DEFINE), F.rlike(sentence, definition_pattern(body))).otherwise(False)
+
+
+def depends(sentence: Column, dependent: Column, prerequisite: Column) -> Column:
+    """Whether a sentence states that one term builds on another (pattern bodies)."""
+    return F.when(sentence.rlike(MAY_DEPEND), F.rlike(sentence, dependency_pattern(dependent, prerequisite))).otherwise(False)
 
 
 def dependency_pattern(dependent: Column, prerequisite: Column) -> Column:

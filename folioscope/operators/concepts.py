@@ -48,6 +48,7 @@ def nominate(sections: DataFrame, brands: DataFrame | None = None, most: int = F
         rows = rows.withColumn("w", F.when(F.col("brands").isNull(), F.col("w")).otherwise(F.filter("w", lambda t: ~F.array_contains("brands", t))))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     counts = rows.select("doc_id", "sec", F.explode(F.concat("w", pairs)).alias("term")).groupBy("doc_id", "sec", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = stored(counts, "counts")
     sizes = sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     least = F.when(F.col("n") < 8, 1).otherwise(2)
     share = F.when(F.col("n") < 3, 1.0).when(F.col("n") < 8, 0.95).otherwise(0.7)
@@ -63,13 +64,17 @@ def nominate(sections: DataFrame, brands: DataFrame | None = None, most: int = F
     return mean.withColumn("ord", F.row_number().over(doc.orderBy(F.desc(F.round("score", 9)), "term")).cast("int"))
 
 
+def stem(term: Column) -> Column:
+    """What every match of a term contains: its last word without an ending that changes in the plural."""
+    return F.regexp_replace(tm.singular(F.element_at(F.split(tm.concept_key(term), " "), -1)), "y$", "")
+
+
 def mentions(ctx: Context, terms: DataFrame) -> DataFrame:
     """(doc_id, term, sent, sent_sec, at, stop, sec, surface): every match; offsets in the document's text, sec by offset.
 
     Sentences meet terms by document; a plain substring test on the last word's stem comes before any pattern."""
-    last = tm.singular(F.element_at(F.split(tm.concept_key(F.col("term")), " "), -1))
-    known = terms.select("doc_id", "term", tm.pattern(F.col("term")).alias("pattern"), F.regexp_replace(last, "y$", "").alias("stem")).where("stem != ''")
-    rows = ctx.sentences.join(known, "doc_id").where(F.contains(F.lower("text"), F.col("stem")))
+    known = terms.select("doc_id", "term", tm.pattern(F.col("term")).alias("pattern"), stem(F.col("term")).alias("stem")).where("stem != ''")
+    rows = ctx.sentences.withColumn("low", F.lower("text")).join(known, "doc_id").where(F.contains("low", F.col("stem")))
     rows = rows.sortWithinPartitions("doc_id", "term")  # patterns compile once for each run of a term
     rows = rows.select("doc_id", "term", "sent", F.col("sec").alias("sent_sec"), F.col("start").alias("from"), F.explode(tm.spans(F.col("text"), F.col("pattern"))).alias("m"))
     starts = ctx.sections.groupBy("doc_id").agg(F.sort_array(F.collect_list("start")).alias("starts"))
@@ -88,9 +93,9 @@ def surface_forms(found: DataFrame) -> DataFrame:
 def drop_fragments(terms: DataFrame, found: DataFrame) -> DataFrame:
     """terms that are mentioned, and not mostly inside longer terms."""
     size = lambda c: F.size(F.split(tm.concept_key(c), " "))
-    short = terms.select("doc_id", "term", tm.pattern(F.col("term")).alias("p"), size(F.col("term")).alias("n"))
+    short = terms.select("doc_id", "term", tm.pattern(F.col("term")).alias("p"), stem(F.col("term")).alias("stem"), size(F.col("term")).alias("n"))
     long = terms.select("doc_id", F.col("term").alias("longer"), size(F.col("term")).alias("m"))
-    pairs = short.join(long, "doc_id").where((F.col("m") > F.col("n")) & F.rlike("longer", F.col("p"))).select("doc_id", "term", "longer")
+    pairs = short.join(long, "doc_id").where((F.col("m") > F.col("n")) & F.contains(F.lower("longer"), F.col("stem")) & F.rlike("longer", F.col("p"))).select("doc_id", "term", "longer")
     spans = found.select("doc_id", F.col("term").alias("longer"), F.struct("at", "stop").alias("span"))
     around = pairs.join(spans, ["doc_id", "longer"]).groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("span")).alias("spans"))
     rows = found.join(around, ["doc_id", "term"], "left")
@@ -246,4 +251,4 @@ class Analysis:
         self.candidates = stored(nominate(ctx.sections, branding(ctx.pages)), "candidates")
         self.mentions = stored(mentions(ctx, self.candidates), "mentions")
         topics, edges = rank(ctx, self.candidates, self.mentions)
-        self.topics, self.edges = stored(topics, "topics"), edges
+        self.topics, self.edges = stored(topics, "topics"), stored(edges, "edges")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import terms as tm
 from folioscope.functions import text as tx
 from folioscope.operators.context import Context
+from folioscope.sources.store import stored
 
 # Fixed values.
 SUBSTANTIVE, INTRODUCTION, SHARED, DEFINITIONS = 6, 3, 150, 3
@@ -42,8 +43,8 @@ def contexts(ctx: Context, heard: DataFrame, intros: DataFrame) -> DataFrame:
 def prerequisite_edges(ctx: Context, topics: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, source, target, weight, reason, evidence): source before target; evidence is a sentence number."""
     found = found.join(topics.select("doc_id", "term"), ["doc_id", "term"], "left_semi")
-    heard = occurrences(ctx, found)
-    intros = introductions(heard)
+    heard = stored(occurrences(ctx, found), "occurrences")
+    intros = stored(introductions(heard), "introductions")
     info = topics.select("doc_id", "term", "tier", tm.term_key(F.col("term")).alias("key"), tm.pattern_body(F.col("term")).alias("body")).join(intros, ["doc_id", "term"])
     a = info.select("doc_id", *(F.col(k).alias(f"a_{k}") for k in ("term", "tier", "key", "body", "intro"))).where("a_tier != 'minor'")
     b = info.select("doc_id", *(F.col(k).alias(f"b_{k}") for k in ("term", "key", "body", "intro")))
@@ -60,7 +61,7 @@ def prerequisite_edges(ctx: Context, topics: DataFrame, found: DataFrame) -> Dat
     both = real.select("doc_id", "sent", F.col("term").alias("a_term"), "text").join(real.select("doc_id", "sent", F.col("term").alias("b_term")), ["doc_id", "sent"])
     both = both.where("a_term != b_term").withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "a_term", "b_term").orderBy("sent"))).where(F.col("k") <= SHARED)
     both = both.join(pairs.select("doc_id", "a_term", "b_term", "a_body", "b_body"), ["doc_id", "a_term", "b_term"])
-    stated = both.where(F.rlike("text", tm.dependency_pattern(F.col("b_body"), F.col("a_body")))).groupBy("doc_id", "a_term", "b_term").agg(F.min("sent").alias("stated"))
+    stated = both.where(tm.depends(F.col("text"), F.col("b_body"), F.col("a_body"))).groupBy("doc_id", "a_term", "b_term").agg(F.min("sent").alias("stated"))
     rows = pairs.join(used, ["doc_id", "a_term", "b_term"], "left").join(stated, ["doc_id", "a_term", "b_term"], "left")
     hits = F.when(F.col("a_intro") < F.col("b_intro"), F.coalesce("hits", F.lit(0))).otherwise(0)
     said = F.col("stated").isNotNull()
@@ -170,7 +171,7 @@ def reference(kind: str, text: Column, page: Column) -> Column:
 def concept_evidence(ctx: Context, topics: DataFrame, found: DataFrame, steps: DataFrame, edges: DataFrame, limit: int = 4) -> DataFrame:
     """A row for each topic: definitions, mentions in different sections, counts, edges in and out, place in the path."""
     found = found.join(topics.select("doc_id", "term"), ["doc_id", "term"], "left_semi")
-    heard = occurrences(ctx, found).withColumn("ref", reference(ctx.kind, F.col("text"), F.col("page")))
+    heard = stored(occurrences(ctx, found), "occurrences").withColumn("ref", reference(ctx.kind, F.col("text"), F.col("page")))
     by = Window.partitionBy("doc_id", "term").orderBy("sent")
     good = heard.withColumn("d", F.when(F.col("defines") & (F.col("words") >= 4), 1)).withColumn("d", F.when(F.col("d") == 1, F.sum("d").over(by)))
     good = good.withColumn("definition", F.coalesce(F.col("d") <= 2, F.lit(False)))
@@ -194,7 +195,7 @@ def concept_evidence(ctx: Context, topics: DataFrame, found: DataFrame, steps: D
 
 def relation_evidence(ctx: Context, pairs: DataFrame, found: DataFrame, edges: DataFrame, limit: int = 5) -> DataFrame:
     """(doc_id, a, b, ...): sentences and sections that two concepts share, a quote of each where no sentence has both."""
-    heard = found.select("doc_id", "term", "sent", F.col("sent_sec").alias("sec")).distinct()
+    heard = stored(found.select("doc_id", "term", "sent", F.col("sent_sec").alias("sec")).distinct(), "heard")
     side = lambda k: heard.select("doc_id", F.col("term").alias(k), F.col("sent").alias(f"{k}_sent"), F.col("sec").alias(f"{k}_sec"))
     text = ctx.sentences.select("doc_id", "sent", reference(ctx.kind, F.col("text"), F.col("page")).alias("ref"))
     key = ["doc_id", "a", "b"]

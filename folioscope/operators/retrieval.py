@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import terms as tm
+from folioscope.sources.store import stored
 
 # Fixed values.
 K1, B, FUSION = 1.5, 0.75, 60
@@ -15,7 +16,7 @@ CONTEXT, ANSWER, CHARS = 4096, 768, 3.5
 
 def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The keyword index: (key, term, tf), (key, length), and (term, idf) over all rows."""
-    rows = docs.select(key, tm.tokens(F.col(text)).alias("t"))
+    rows = stored(docs.select(key, tm.tokens(F.col(text)).alias("t")), "tokens")
     tf = rows.select(key, F.explode("t").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     lengths = rows.select(key, F.size("t").alias("length"))
     n = lengths.agg(F.count(F.lit(1)).alias("n"))

@@ -279,7 +279,7 @@ def term_predicates(spark, sf):
         F.when(F.col("kind") == "match", F.rlike(t, tm.pattern(a)))
         .when(F.col("kind") == "define", tm.defines(t, tm.pattern_body(a)))
         .when(F.col("kind") == "outside", tm.mentions_outside(t, tm.pattern(a), tm.pattern(b)))
-        .when(F.col("kind") == "depends", F.rlike(t, tm.dependency_pattern(tm.pattern_body(a), tm.pattern_body(b))))
+        .when(F.col("kind") == "depends", tm.depends(t, tm.pattern_body(a), tm.pattern_body(b)))
         .when(F.col("kind") == "special", tm.specialises(tm.term_key(a), tm.term_key(b)))
     )
     return rows.select("kind", "text", "a", "b", value.alias("result"))

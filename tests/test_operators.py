@@ -16,6 +16,7 @@ from folioscope.operators import mastery as ms
 from folioscope.operators import paths as ps
 from folioscope.operators import replies as rp
 from folioscope.operators import retrieval as rt
+from folioscope.sources.store import stored
 
 HEADER = "Notes on learning machines"
 PAGES = [
@@ -136,10 +137,11 @@ def test_edges_equal_counted_sections(ctx, analysis):
 
 def test_path(ctx, analysis):
     heard = ps.occurrences(ctx, analysis.mentions)
-    edges = ps.prerequisite_edges(ctx, analysis.topics, analysis.mentions)
+    edges = stored(ps.prerequisite_edges(ctx, analysis.topics, analysis.mentions))
     found = {(e.source, e.target): e.reason for e in edges.collect()}
     assert found[("neural network", "transformer")] == "stated_dependency"
     steps, kept = ps.learning_path(analysis.topics, ps.introductions(heard), edges)
+    steps, kept = stored(steps), stored(kept)
     place = {s.term: s.pos for s in steps.collect()}
     assert sorted(place.values()) == list(range(1, len(place) + 1))
     assert all(place[e.source] < place[e.target] for e in kept.collect())
@@ -147,7 +149,7 @@ def test_path(ctx, analysis):
     own = rows["neural network"]
     assert own.definitions[0]["text"].startswith("A neural network is a model") and own.definitions[0]["label"] == "p. 4"
     assert own.n_mentions >= own.n_sentences >= own.n_sections
-    pairs = analysis.edges.select("doc_id", F.col("source").alias("a"), F.col("target").alias("b"))
+    pairs = stored(analysis.edges).select("doc_id", F.col("source").alias("a"), F.col("target").alias("b"))
     for r in ps.relation_evidence(ctx, pairs, analysis.mentions, kept).collect():
         assert 0 < r.weight <= 1 and (r.shared_sentences == 0) == (r.sentences is None) == (r.section_pairs is not None)
 
