@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.graph import components
+from folioscope.llm.near_copies import near_copies
 from folioscope.llm.store import table, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -263,7 +264,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest doc_id; a row repeated under one doc_id stays once."""
-    first = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_key")).distinct()
+    """One document of each group of near copies (five-word shingles, similarity 0.8): that with the smallest doc_id; a row
+    repeated under one doc_id stays once. The parameters above bind op4's query only."""
+    first = near_copies(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_key")).distinct()
     kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_key"]), "left_semi")
     return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
