@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from folioscope.sources.store import stored
 # Fixed values.
 K1, B, FUSION = 1.5, 0.75, 60
 CANDIDATES, FINAL = 20, 5
+BLOCK = 1024
 CONTEXT, ANSWER, CHARS = 4096, 768, 3.5
 
 
@@ -65,6 +68,14 @@ def dense_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, que
     return scores.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
 
 
+def dense_top_blocks(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, k: int, block: int = BLOCK) -> DataFrame:
+    """dense_top for any number of queries: about ``block`` of them at a time, each a pass over the vectors, written before the next."""
+    blocks = max(1, -(-queries.count() // block))
+    own = F.pmod(F.xxhash64(query_key), F.lit(blocks))
+    parts = [stored(dense_top(vectors, key, vector, queries.where(own == b), query_key, k), "nearest") for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fuse(rankings: DataFrame, query_key: str, key: str, k: int = FUSION) -> DataFrame:
     """Reciprocal rank fusion of (query_key, list_id, key, rank from 1): (query_key, key, score, pos); ties by first list, then rank."""
     summed = rankings.groupBy(query_key, key).agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.min(F.struct("list_id", "rank")).alias("first"))

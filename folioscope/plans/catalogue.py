@@ -18,7 +18,7 @@ from folioscope.operators import retrieval as rt
 from folioscope.plans import fixtures as fx
 from folioscope.plans.tables import binders, inline, learners, probes, texts
 from folioscope.sources import store as st
-from folioscope.sources.store import table
+from folioscope.sources.store import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -494,6 +494,17 @@ def dense_topk(spark, sf):
     return rows.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
+def _every(spark, sf):
+    """The questions of a whole search: every vector whose id is divisible by 50."""
+    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+@query
+def dense_topk_all(spark, sf):
+    rows = rt.dense_top_blocks(table(spark, sf, "embeddings"), "vec_id", "embedding", _every(spark, sf), "query_id", 10)
+    return rows.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query
 def pair_similarity(spark, sf):
     rows = table(spark, sf, "embeddings")
@@ -522,9 +533,24 @@ def hybrid_retrieve(spark, sf):
     return _hybrid(spark, sf)[1].select("query_id", "doc_id", F.round("score", 9).alias("score"), "pos", "dense_rank", "keyword_rank")
 
 
+def _hybrid_all(spark, sf):
+    """Every vector and every whole text whose id is divisible by 50 asks."""
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
+    keyword = rt.top(rt.bm25_scores(docs, "doc_id", "text", asked, "query_id", "question"), "query_id", "doc_id", rt.CANDIDATES)
+    vectors = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    dense = rt.dense_top_blocks(vectors, "doc_id", "embedding", _every(spark, sf), "query_id", rt.CANDIDATES)
+    return docs, rt.hybrid(dense, stored(keyword, "keyword"), "query_id", "doc_id")
+
+
+@query
+def hybrid_retrieve_all(spark, sf):
+    return _hybrid_all(spark, sf)[1].select("query_id", "doc_id", F.round("score", 9).alias("score"), "pos", "dense_rank", "keyword_rank")
+
+
 @query
 def context_block(spark, sf):
-    docs, fused = _hybrid(spark, sf)
+    docs, fused = _hybrid_all(spark, sf)
     rows = fused.join(docs, "doc_id").withColumn("label", tx.source_label(F.lit("text"), F.lit(1), F.lit(1), F.col("doc_id")))
     return rt.context_block(rows, "query_id").select("query_id", F.md5("block").alias("block_md5"), F.length("block").alias("n_chars"))
 
