@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,19 +19,45 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    A session that names none gets a temporary folder if all its executors are threads of this machine; elsewhere that
+    is an error, as each executor would write to a disk of its own."""
     sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
+    where = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="folioscope-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-"))
-    return sc.getCheckpointDir().rstrip("/")
+        sc.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+_MARKED: set[str] = set()
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below one of this application's own that goes when the driver ends."""
+    own = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if own not in _MARKED:
+        _MARKED.add(own)
+        where, files = _file_system(spark, own)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    """A path and its file system, as Hadoop has them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder."""
+    where, files = _file_system(spark, path)
+    files.delete(where, True)
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
@@ -58,10 +85,12 @@ def content_hash(text: Column) -> Column:
 def first_of_content(docs: DataFrame) -> DataFrame:
     """(doc_id, content_hash, first_doc_id, reused): documents with equal content, of which the first one counts.
 
-    Minima are taken before the shuffle, so content that a third of all rows share is no load."""
-    rows = docs.select("doc_id", content_hash(F.col("text")).alias("content_hash"))
-    firsts = rows.groupBy("content_hash").agg(F.min("doc_id").alias("first_doc_id"))
-    return rows.join(firsts, "content_hash").withColumn("reused", F.col("doc_id") != F.col("first_doc_id"))
+    Minima are taken before the shuffle, and only content that occurs twice goes into the join. Hashes and their first
+    documents are written before, so that Spark can split the partition of content that a third of all rows share."""
+    rows = stored(docs.select("doc_id", content_hash(F.col("text")).alias("content_hash")), "hashes")
+    firsts = rows.groupBy("content_hash").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = rows.join(stored(firsts.drop("n"), "firsts"), "content_hash", "left")
+    return rows.withColumn("first_doc_id", F.coalesce("first_doc_id", "doc_id")).withColumn("reused", F.col("doc_id") != F.col("first_doc_id"))
 
 
 def admit_text(docs: DataFrame) -> DataFrame:
