@@ -11,9 +11,13 @@ permutation if and only if the item's minimal shingle stands in the window and n
 signatures need not be computed for windows without such a shingle: an inverted index of the items' minimal shingles
 finds the windows in question, and only their minima are taken. Candidates are verified against the whole document.
 
-Items are broadcast in blocks of at most ``BLOCK_BYTES`` of text, however many there are; each block is a pass over the
-documents, so the broadcast is bounded. Defined results: items with under five words have no shingle and never leak, nor
-do null ones; a null text has no shingle; items or documents that repeat give their own rows.
+Items are indexed and broadcast, as arrays, in blocks of about ``BLOCK_BYTES`` of text, however many there are; each block
+is a pass over the documents, so the broadcast is bounded; texts that repeat within a block are indexed once.
+
+Defined results: items with under five words have no shingle and never leak, nor do null ones; a null or empty text has no
+shingle; items or documents that repeat, or that have a null id, give their own rows; ties do not arise, as every leak
+counts; a very long text is held by one task, in whole; without items or documents the result is empty, or all documents.
+Columns other than doc_id, item_id and text are not read here, and pass ``without_leaks`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import textbuf as tb
-from folioscope.llm.store import table
+from folioscope.llm.store import in_arrow, table, written
 
 SHINGLE, THRESHOLD, PERMS = 5, 0.8, 96
 BLOCK_BYTES = 16 << 20
@@ -46,111 +50,170 @@ def shingles(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 class Index:
-    """Signatures of a block of items, and the inverted index of their minimal shingles."""
+    """Signatures of a block of items, and the inverted index of their minimal shingles; equal texts count once here."""
 
-    def __init__(self, texts: list[str | None], size: int = SHINGLE, perms: int = PERMS):
-        self.size, self.sets = size, []
-        for _, buf, offs in tb.slices(pa.array(texts, pa.string())):
-            g, first = shingles(buf, offs, size)
-            self.sets += [np.unique(g[a:b]) for a, b in zip(first, first[1:], strict=False)]
+    def __init__(self, texts: list[str], size: int = SHINGLE, perms: int = PERMS):
+        self.size = size
+        sets: list[np.ndarray] = []
         keys, item, perm = [], [], []
-        for n, own in enumerate(self.sets):
-            if len(own):
-                lows = np.array([own[np.argmin(tb.mix(own ^ s))] for s in _SEEDS[:perms]])
-                keys.append(lows)
-                item.append(np.full(perms, n))
-                perm.append(np.arange(perms))
-        empty = np.zeros(0, np.int64)
-        self.keys, self.item, self.perm = (np.concatenate(x) if x else empty for x in (keys, item, perm))
-        self.keys = self.keys.astype(np.uint64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.item, self.perm = self.keys[order], self.item[order], self.perm[order]
+        for at, buf, offs in tb.slices(pa.array(texts, pa.string())):
+            g, first = shingles(buf, offs, size)
+            row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
+            order = np.lexsort((g, row))
+            g, row = g[order], row[order]
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+            g, row = g[new], row[new]
+            first = np.searchsorted(row, np.arange(len(offs)))
+            sets.append(np.diff(first))
+            keys.append(g)
+            full = np.flatnonzero(np.diff(first))
+            if len(full):
+                item.append((at + full, *[_minima(g, first[full], s) for s in _SEEDS[:perms]]))
+        #: the distinct shingles of item n, ascending: shingle[first[n] : first[n + 1]]
+        self.shingle = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        self.first = np.concatenate([[0], np.cumsum(np.concatenate(sets))]).astype(np.int64) if sets else np.zeros(1, np.int64)
+        lows = [np.concatenate([x[1 + p] for x in item]) if item else np.zeros(0, np.uint64) for p in range(perms)]
+        who = np.concatenate([x[0] for x in item]) if item else np.zeros(0, np.int64)
+        keys = np.concatenate(lows)
+        perm, item = np.repeat(np.arange(perms, dtype=np.int16), len(who)), np.tile(who, perms).astype(np.int32)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.item, self.perm = keys[order], item[order], perm[order]
         self.bits = max(12, int(np.ceil(np.log2(len(self.keys) + 1))) + 4)
         self.there = np.zeros(1 << self.bits, bool)
         self.there[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-        self.upper = [1 << max(0, (len(s) - 1).bit_length()) for s in self.sets]
+        n = np.maximum(np.diff(self.first), 1) - 1
+        self.upper = np.array([1 << int(k).bit_length() for k in n], np.int64)
+
+    def candidates(self, own: np.ndarray) -> np.ndarray:
+        """Items that agree with a window of their size class on a permutation, ascending.
 
-    def candidates(self, own: np.ndarray) -> set[int]:
-        """Items that agree with a window of their size class on a permutation."""
+        A window's minimum is taken once for each permutation, however many items share the shingle in question."""
+        none = np.zeros(0, np.int64)
         hit = np.flatnonzero(self.there[(own >> np.uint64(64 - self.bits)).astype(np.int64)])
-        out: set[int] = set()
         if not len(hit) or not len(self.keys):
-            return out
-        lo = np.searchsorted(self.keys, own[hit], "left")
-        hi = np.searchsorted(self.keys, own[hit], "right")
-        tried: set[tuple[int, int, int]] = set()
-        for p, a, b in zip(hit[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-            for k in range(a, b):
-                n = int(self.item[k])
-                if n in out:
-                    continue
-                u, perm = self.upper[n], int(self.perm[k])
-                for w in (p // u - 1, p // u):
-                    if w < 0 or (w, n, perm) in tried:
-                        continue
-                    tried.add((w, n, perm))
-                    seed = _SEEDS[perm]
-                    if (tb.mix(own[w * u : w * u + 2 * u] ^ seed) >= tb.mix(own[p : p + 1] ^ seed)).all():
-                        out.add(n)
-                        break
-        return out
+            return none
+        lo, hi = np.searchsorted(self.keys, own[hit], "left"), np.searchsorted(self.keys, own[hit], "right")
+        hit, lo, n = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        if not len(hit):
+            return none
+        entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        place, item, perm = np.repeat(hit, n), self.item[entry], self.perm[entry].astype(np.int64)
+        u = self.upper[item]
+        place, item, perm, u, w = (np.concatenate(x) for x in zip(*((place, item, perm, u, place // u - back) for back in (0, 1)), strict=True))
+        ok = w >= 0
+        place, item, perm, u, w = (x[ok] for x in (place, item, perm, u, w))
+        asked = np.stack([u, w, perm], 1)
+        asked, which = np.unique(asked, axis=0, return_inverse=True)
+        least = np.array([tb.mix(own[k * size : k * size + 2 * size] ^ _SEEDS[p]).min() for size, k, p in asked.tolist()], np.uint64)
+        return np.unique(item[tb.mix(own[place] ^ _SEEDS[perm]) == least[which.ravel()]]).astype(np.int64)
 
     def leaks(self, own: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
         """(item, its shingles, those of them that the document has) of all leaks."""
-        found = sorted(self.candidates(own))
-        if not found:
+        found = self.candidates(own)
+        if not len(found):
             return []
         out, mine = [], np.unique(own)
-        for n in found:
-            at = np.searchsorted(mine, self.sets[n]).clip(max=len(mine) - 1)
-            shared = int((mine[at] == self.sets[n]).sum())
-            if shared >= threshold * len(self.sets[n]):
-                out.append((n, len(self.sets[n]), shared))
+        for n in found.tolist():
+            wanted = self.shingle[self.first[n] : self.first[n + 1]]
+            at = np.searchsorted(mine, wanted).clip(max=len(mine) - 1)
+            shared = int((mine[at] == wanted).sum())
+            if shared >= threshold * len(wanted):
+                out.append((n, len(wanted), shared))
         return out
 
+    def search(self, texts: pa.Array, threshold: float) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Row and leak (item, its shingles, those shared) of all leaks into the texts."""
+        rows, found = [], []
+        for at, buf, offs in tb.slices(texts):
+            g, first = shingles(buf, offs, self.size)
+            flag = np.zeros(len(g) + 1, np.int64)
+            np.cumsum(self.there[(g >> np.uint64(64 - self.bits)).astype(np.int64)], out=flag[1:])
+            for i in np.flatnonzero(flag[first[1:]] > flag[first[:-1]]).tolist():
+                own = self.leaks(g[first[i] : first[i + 1]], threshold)
+                rows += [at + i] * len(own)
+                found += own
+        return np.array(rows, np.int64), found
+
+
+def _minima(g: np.ndarray, starts: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """The shingle that ranks lowest under a permutation in each run of g from a start to the next."""
+    ranks = tb.mix(g ^ seed)
+    low = np.minimum.reduceat(ranks, starts)
+    size = np.diff(np.append(starts, len(g)))
+    at = np.flatnonzero(ranks == np.repeat(low, size))  # the permutation is a bijection and a run's shingles are distinct: one each
+    return g[at]
+
+
+def _found(shared, schema: pa.Schema, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, ids, text_of = shared.value  # ids: item ids by distinct text, a text's from text_of[n] on
+        own = pa.array(ids, schema.field(1).type)
+        for batch in batches:
+            rows, leaks = index.search(batch.column(1), threshold)
+            n = np.array([x[0] for x in leaks], np.int64)
+            size = text_of[n + 1] - text_of[n]
+            each = np.repeat(np.arange(len(n)), size)
+            item = np.repeat(text_of[n] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            numbers = [pa.array(np.array([x[k] for x in leaks], np.int64)[each]) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[each])), own.take(pa.array(item)), *numbers], schema=schema)
 
-def _search(shared, schema: pa.Schema, threshold: float, size: int, perms: int):
+    return run
+
+
+def _clean(shared, column: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = None
+        index = shared.value[0]
         for batch in batches:
-            if index is None:
-                index = Index(shared.value[1], size, perms)
-            rows, found = [], []
-            for at, buf, offs in tb.slices(batch.column(1)):
-                g, first = shingles(buf, offs, size)
-                flag = np.zeros(len(g) + 1, np.int64)
-                np.cumsum(index.there[(g >> np.uint64(64 - index.bits)).astype(np.int64)], out=flag[1:])
-                for i in np.flatnonzero(flag[first[1:]] > flag[first[:-1]]).tolist():
-                    for leak in index.leaks(g[first[i] : first[i + 1]], threshold):
-                        rows.append(at + i)
-                        found.append(leak)
-            items = pa.array(shared.value[0], schema.field(1).type).take(pa.array([x[0] for x in found], pa.int64()))
-            numbers = [pa.array([x[k] for x in found], pa.int64()) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), items, *numbers], schema=schema)
+            rows, _ = index.search(batch.column(column).cast(pa.string()), threshold)
+            keep = np.ones(batch.num_rows, bool)
+            keep[rows] = False
+            yield batch.filter(pa.array(keep))
 
     return run
 
 
+def indexes(items: DataFrame, size: int = SHINGLE, perms: int = PERMS) -> Iterator[tuple]:
+    """(index, item ids, where each distinct text's ids begin) of blocks of about BLOCK_BYTES of text, one at a time.
+
+    An index is built once, on the driver, of one block; it is some seven times its text. Rows are dealt by a number of
+    their own, so that repeated items spread."""
+    items = items.select(F.monotonically_increasing_id().alias("n"), "item_id", F.col("text").cast("string")).where("text is not null")
+    items = written(items, "items")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    blocks = -(-int(total) // BLOCK_BYTES)
+    for k in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("n"), F.lit(blocks)) == k).select("item_id", "text").collect()  # a block, of bounded size
+        by_text: dict[str, list] = {}
+        for r in own:
+            by_text.setdefault(r.text, []).append(r.item_id)
+        at = np.concatenate([[0], np.cumsum([len(x) for x in by_text.values()])]).astype(np.int64)
+        yield Index(list(by_text), size, perms), [i for x in by_text.values() for i in x], at
+
+
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, perms: int = PERMS) -> DataFrame:
     """A row for each item in each document: doc_id, item_id, item_shingles, shared_shingles."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     spark = docs.sparkSession
-    items = items.select("item_id", F.col("text").cast("string")).where("text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    blocks = -(-int(total) // BLOCK_BYTES)
     kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, item_shingles long, shared_shingles long"
     out = spark.createDataFrame([], kinds)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     schema = to_arrow_schema(out.schema)
     ready = docs.select("doc_id", F.col("text").cast("string"))
-    for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # a block, of bounded size
-        shared = spark.sparkContext.broadcast(([r.item_id for r in own], [r.text for r in own]))
-        found = ready.mapInArrow(_search(shared, schema, threshold, size, perms), kinds)
+    for k, index in enumerate(indexes(items, size, perms)):
+        found = ready.mapInArrow(_found(spark.sparkContext.broadcast(index), schema, threshold), kinds)
         out = found if k == 0 else out.union(found)
     return out
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, perms: int = PERMS) -> DataFrame:
+    """The rows of docs that no item leaks into, all their columns unchanged. Each row is judged where it is read: nothing
+    is shuffled, and rows with equal or null doc_ids have nothing to do with one another."""
+    for index in indexes(items, size, perms):
+        docs = in_arrow(docs, _clean(docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text"), threshold))
+    return docs
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: every leak of a benchmark item into a document, with the containment."""
     found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -159,6 +222,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a leak."""
-    bad = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_key")).distinct()
-    kept = docs.join(bad, docs["doc_id"].eqNullSafe(bad["_key"]), "left_anti")
-    return kept.select(*docs.columns)
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))

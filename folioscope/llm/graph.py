@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.store import written
+from folioscope.llm.store import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of each node of the edges (a, b): root is the smallest node that can be reached.
 
     Each round hooks every node to its smallest neighbour, follows that once more, and contracts the edges: at least half
-    of the nodes with edges vanish, so there are at most log2(n) rounds. Minima are aggregated before the shuffle.
+    of the nodes with edges vanish, so there are at most log2(n) rounds. Minima are aggregated before the shuffle; tables
+    of a round go once the next one has them. Without an edge the result is empty.
     """
     edges = written(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     roots = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")), "roots")
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("x"), F.least("a", "b").alias("y"))
-        up = written(up, "up")
-        next_up = up.select(F.col("x").alias("y"), F.col("y").alias("z"))
-        up = written(up.join(next_up, "y", "left").select("x", F.coalesce("z", "y").alias("y")), "up")
+        one = written(up, "up")
+        next_up = one.select(F.col("x").alias("y"), F.col("y").alias("z"))
+        up = written(one.join(next_up, "y", "left").select("x", F.coalesce("z", "y").alias("y")), "up")
         left, right = up.toDF("a", "p"), up.toDF("b", "q")
         new = edges.join(left, "a").join(right, "b").where("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-        roots = written(roots.join(up.toDF("root", "r"), "root", "left").select("node", F.coalesce("r", "root").alias("root")), "roots")
-        edges = written(new.distinct(), "edges")
+        new_roots = written(roots.join(up.toDF("root", "r"), "root", "left").select("node", F.coalesce("r", "root").alias("root")), "roots")
+        new_edges = written(new.distinct(), "edges")
+        dropped(one, up, roots, edges)
+        roots, edges = new_roots, new_edges
+    dropped(edges)
     return roots

@@ -12,8 +12,14 @@ windows reach back to the first line of a shared run and backward windows on to
 exactly. Positions are joined with the first occurrence of their window, never with one another, so a passage that stands
 in a third of all documents costs a row for each place and no pairs.
 
-Defined results: a null or empty text has nothing to delete; rows with one doc_id count as one document (a row repeated
-as a whole keeps its text); a null doc_id sorts before all others. Other columns, whatever their names, pass unchanged.
+Only whole lines count: of a passage that begins or ends inside a line, the lines that it fills are a run, and if they
+have under ``min_words`` words together, it stays.
+
+Defined results: a document is a doc_id with a text, so rows that share both count as one (each keeps or loses the same
+lines), rows that share a doc_id, or have none, over different texts do not. A null or empty text has nothing to delete; a
+null doc_id sorts before all others, and equal ones go by a hash of their texts (ties). A very long text is cut by one
+task, its windows are rows like all others. Without documents the result is empty. Other columns, whatever their names,
+pass unchanged; the names of added ones get underscores until they are free.
 """
 
 from __future__ import annotations
@@ -22,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from folioscope.llm import textbuf as tb
-from folioscope.llm.store import table, written
+from folioscope.llm.store import dropped, every, free, in_arrow, table, written
 
 MIN_WORDS = 50
 
@@ -66,8 +73,8 @@ def windows(h: np.ndarray, n_words: np.ndarray, first: np.ndarray, least: int):
 def _winnowed(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for at, buf, offs in tb.slices(batch.column(1)):
+            ids, marks = batch.column(0), batch.column(1)
+            for at, buf, offs in tb.slices(batch.column(2)):
                 _, h, n_words, first = line_table(buf, offs)
                 if not len(h):
                     continue
@@ -90,46 +97,55 @@ def _winnowed(least: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array(at + row)),
+                        marks.take(pa.array(at + row)),
                         pa.array(least_hash.view(np.int64)),
                         pa.array(where - base, pa.int64()),
                         pa.array(content.view(np.int64)),
                         pa.array(a - base, pa.int64()),
                         pa.array(b - base, pa.int64()),
                     ],
-                    ["doc_id", "print", "at", "content", "a", "b"],
+                    ["doc_id", "own", "print", "at", "content", "a", "b"],
                 )
 
     return run
 
 
+def _mark(docs: DataFrame) -> Column:
+    """What tells texts under one doc_id apart."""
+    return F.xxhash64(docs["text"].cast("string"))
+
+
 def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each window: its fingerprint (line hash and position), the hash of its content, its bounds a and b among
-    the lines with a word."""
+    """A row for each window: its document (doc_id, own), its fingerprint (line hash and position), the hash of its
+    content, its bounds a and b among the lines with a word."""
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(
-        _winnowed(min_words), f"doc_id {kind}, print long, at long, content long, a long, b long"
+    return docs.select("doc_id", _mark(docs).alias("own"), F.col("text").cast("string")).mapInArrow(
+        _winnowed(min_words), f"doc_id {kind}, own long, print long, at long, content long, a long, b long"
     )
 
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id and the bounds (a, b) of its windows that occurred earlier."""
+    """The document (doc_id, own) and the bounds (a, b) of its windows that occurred earlier; of those from one line on the longest."""
     found = written(fingerprints(docs, min_words), "winnowed")
-    place = F.struct("doc_id", "at")
+    place = F.struct("doc_id", "own", "at")
     # Each side of a join is a table of its own, so that Spark can split the partition of a line that stands everywhere.
     again = written(found.groupBy("print").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("print"), "prints")
-    near = written(found.join(again, "print", "left_semi").select("doc_id", "content", "a", "b"), "near")
-    place = F.struct("doc_id", "a")
+    near = written(found.join(again, "print", "left_semi").select("doc_id", "own", "content", "a", "b"), "near")
+    dropped(found, again)
+    place = F.struct("doc_id", "own", "a")
     firsts = near.groupBy("content").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("content", "lo")
-    return near.join(written(firsts, "firsts"), "content").where(F.struct("doc_id", "a") > F.col("lo")).select("doc_id", "a", "b")
+    later = near.join(written(firsts, "firsts"), "content").where(F.struct("doc_id", "own", "a") > F.col("lo"))
+    return later.groupBy("doc_id", "own", "a").agg(F.max("b").alias("b"))
+
 
+def _cut(n: int, k: int):
+    """Batches of n columns, column k the text, and the spans behind them."""
 
-def _cut(columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = columns.index("text")
         for batch in batches:
             texts, out = batch.column(k).to_pylist(), []
             counts = np.zeros((3, len(texts)), np.int64)
-            for i, (text, spans) in enumerate(zip(texts, batch.column(len(columns)).to_pylist(), strict=True)):
+            for i, (text, spans) in enumerate(zip(texts, batch.column(n).to_pylist(), strict=True)):
                 if text is None:
                     out.append(text)
                     continue
@@ -139,37 +155,40 @@ def _cut(columns: list[str]):
                     out.append(text)
                     continue
                 sizes = [len(x.encode("utf-8", "surrogatepass").split()) for x in all_lines]
-                real = [n for n, size in enumerate(sizes) if size]
+                real = [i_line for i_line, size in enumerate(sizes) if size]
                 gone = np.zeros(len(real) + 1, np.int64)
                 for s in spans:
                     gone[s["a"]] += 1
                     gone[s["b"]] -= 1
                 gone = np.cumsum(gone)[:-1] > 0
                 drop = set()
-                for m, n in enumerate(real):
+                for m, line in enumerate(real):
                     if gone[m]:
-                        drop.add(n)
-                        counts[2, i] += sizes[n]
+                        drop.add(line)
+                        counts[2, i] += sizes[line]
                         if m + 1 < len(real) and gone[m + 1]:  # and what is blank between two deleted lines
-                            drop.update(range(n + 1, real[m + 1]))
-                left = [x for n, x in enumerate(all_lines) if n not in drop]
+                            drop.update(range(line + 1, real[m + 1]))
+                left = [x for line, x in enumerate(all_lines) if line not in drop]
                 counts[1, i] = len(all_lines) - len(left)
                 out.append("\n".join(left))
-            arrays = [batch.column(j) for j in range(len(columns))]
+            arrays = [batch.column(j) for j in range(n)]
             arrays[k] = pa.array(out, batch.schema.field(k).type)
-            yield pa.RecordBatch.from_arrays([*arrays, *map(pa.array, counts)], [*columns, "_lines", "_gone", "_words"])
+            yield pa.RecordBatch.from_arrays([*arrays, *map(pa.array, counts)], [f"c{j}" for j in range(n + 3)])
 
     return run
 
 
+NAMES = ("_lines", "_gone", "_words")
+
+
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with later repeated runs cut out of text; adds _lines, _gone (lines deleted) and _words (words deleted)."""
-    spans = repeated(docs, min_words).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    columns = docs.columns
-    key = spans.select(F.col("doc_id").alias("_key"), F.col("spans").alias("_spans"))
-    joined = docs.join(key, docs["doc_id"].eqNullSafe(key["_key"]), "left").drop("_key")
-    schema = ", ".join([*(f"`{n}` {k}" for n, k in docs.dtypes), "_lines long, _gone long, _words long"])
-    return joined.mapInArrow(_cut(columns), schema)
+    spans = repeated(docs, min_words).groupBy("doc_id", "own").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = spans.toDF(*free(docs, "_id", "_own", "_spans"))
+    key, own, held = spans.columns
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans[key]) & (_mark(docs) == spans[own]), "left").select(*every(docs), held)
+    n = len(docs.columns)
+    return in_arrow(joined, _cut(n, docs.columns.index("text")), [(x, LongType()) for x in free(docs, *NAMES)], n)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,9 +200,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later repeated runs; a document of which nothing is left goes, one that was blank before stays."""
-    out = dedup_lines(docs)
-    size = F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))
-    out = out.where("_words = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    _, gone, words = free(docs, *NAMES)
+    out = dedup_lines(docs).where((F.col(words) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone") > 0, size).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        size = F.length("text").cast(dict(docs.dtypes)["n_chars"])
+        out = out.withColumn("n_chars", F.when(F.col(gone) > 0, size).otherwise(F.col("n_chars")))
+    return out.select(*every(docs))

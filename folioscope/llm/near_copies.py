@@ -1,14 +1,20 @@
-"""Near copies by five-word shingles: MinHash bands give candidates, exact Jaccard of the whole shingle sets decides.
+"""Near copies by five-word shingles: buckets by MinHash bands, bit-sliced SimHash distances within them, and exact Jaccard
+of the whole shingle sets, which alone decides.
 
 Texts with equal shingle sets are one class. At a similarity of 0.8 SimHash fingerprints differ in about ten of 64 bits,
-which no split of the bits into blocks reaches; ``BANDS`` bands of ``ROWS`` minima miss a pair of that similarity with a
-probability of 0.59**24, 4e-6. A bucket with more than ``DEEP`` classes is dealt again by the other bands (a pair then
-has to agree in two bands: missed with 6e-5). Every member of a bucket is first verified against the smallest and the
-greatest class there; only pairs that are not connected afterwards follow, so a cluster costs pairs in proportion to
-its members, not to their square.
+which no split of the bits into blocks reaches; so buckets are formed by ``BANDS`` bands of ``ROWS`` minima, which miss a
+pair of that similarity with a probability of 0.59**24, 4e-6. A bucket with more than ``DEEP`` classes is dealt again by
+the other bands (a pair then has to agree in two bands: missed with 6e-5). Every member of a bucket is first verified
+against the smallest and the greatest class there. Of those that are not connected afterwards, only pairs whose SimHash
+fingerprints over the same shingles differ in at most ``RADIUS`` bits follow, compared in bit planes (at 0.8 the distance
+is 9.7 with a deviation of 2.9: missed with 1e-6); so a cluster costs pairs in proportion to its members, not to their
+square, and texts that only share a bucket cost none.
 
 Defined results: words are those of SimHash (white space, ASCII case); a text of under five words has one shingle, all
-its words; texts without a word are equal; a null doc_id is the smallest id where nothing else is reachable.
+its words; null, empty and blank texts are equal; a document is a doc_id with a text: rows that share both are one, rows
+that share a doc_id, or have none, over different texts are not. A null doc_id is the smallest id where nothing else is
+reachable. A very long text is hashed by one task, in whole; without documents results are empty; other columns, whatever
+their names, pass ``first_copies`` unchanged.
 """
 
 from __future__ import annotations
@@ -21,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import textbuf as tb
+from folioscope.llm.bitslice import close_pairs, majority
 from folioscope.llm.graph import components
-from folioscope.llm.store import written
+from folioscope.llm.store import dropped, every, free, keys_of, written
 
-SHINGLE, THRESHOLD, BANDS, ROWS, DEEP = 5, 0.8, 24, 4, 1024
+SHINGLE, THRESHOLD, BANDS, ROWS, DEEP, RADIUS = 5, 0.8, 24, 4, 1024, 24
 _XOR = tb.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 _ODD = tb.mix(np.arange(5001, 5001 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
 
@@ -70,19 +77,20 @@ def _bands(v: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, buf, offs in tb.slices(batch.column(1)):
+        for at, buf, offs in tb.slices(batch.column(3)):
             v, first = shingle_sets(buf, offs)
             keys, n = _bands(v, first), len(offs) - 1
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(_classes(v, first)), lists], ["doc_id", "set", "keys"])
+            own = [pa.array(_classes(v, first)), pa.array(majority(v, first).view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, n) for k in range(3)), *own], ["doc_id", "k1", "k2", "set", "fp", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, buf, offs in tb.slices(batch.column(0)):
+        for at, buf, offs in tb.slices(batch.column(1)):
             v, first = shingle_sets(buf, offs)
             own = pa.array([v[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(_classes(v, first)), own], ["set", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(offs) - 1), own], ["set", "shingles"])
 
 
 def _similar(threshold: float):
@@ -99,39 +107,51 @@ def _similar(threshold: float):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def shingles_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(set, shingles) of the wanted classes, each from a single document of its own."""
+    k1, k2 = keys_of(docs)
+    first = classes.join(wanted, "set", "left_semi").select("set", "least.k1", "least.k2")
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(first, ["k1", "k2"]).select("set", "text", "k1", "k2").dropDuplicates(["k1", "k2"])
+    return written(texts.select("set", "text").mapInArrow(_sets, "set long, shingles binary"), "sets")
+
+
+def verified(sets: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Those pairs of classes (a, b) whose shingle sets have at least that Jaccard similarity."""
     pairs = written(pairs.distinct(), "pairs")
-    wanted = written(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "wanted")
-    every = docs.select(F.col("text").cast("string")).mapInArrow(_sets, "set long, shingles binary")
-    own = written(every.join(wanted, "set", "left_semi").dropDuplicates(["set"]), "sets")
-    both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return written(both.mapInArrow(_similar(threshold), "a long, b long"), "similar")
 
 
 def buckets(classes: DataFrame, deep: int = DEEP) -> DataFrame:
-    """(k, k2, set): the classes (set, keys) of each bucket that has more than one."""
-    keyed = classes.select("set", F.explode("keys").alias("k"))
-    held = written(keyed.join(keyed.groupBy("k").count().where("count > 1"), "k"), "held")
-    flat = held.where(F.col("count") <= deep).select("k", F.lit(0).cast("long").alias("k2"), "set")
-    more = held.where(F.col("count") > deep).join(classes, "set").select("k", F.explode("keys").alias("k2"), "set").where("k2 != k")
-    return written(flat.union(more), "buckets")
+    """(k, k2, set, fp): the classes (set, fp, keys) of each bucket that has more than one."""
+    keyed = classes.select("set", "fp", F.explode("keys").alias("k"))
+    counts = written(keyed.groupBy("k").count().where("count > 1"), "counts")
+    held = written(keyed.join(counts, "k"), "held")
+    flat = held.where(F.col("count") <= deep).select("k", F.lit(0).cast("long").alias("k2"), "set", "fp")
+    more = held.where(F.col("count") > deep).select("k", "set").join(classes, "set").select("k", F.explode("keys").alias("k2"), "set", "fp").where("k2 != k")
+    out = written(flat.union(more), "buckets")
+    dropped(counts, held)
+    return out
+
+
+def _apart(root: np.ndarray, own: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    """Pairs of one bucket with different roots, within the radius."""
+    i, j = close_pairs(fps, RADIUS, root)
+    a, b = own[i], own[j]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def _unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different roots within each bucket of the sorted rows (k, k2, root, set)."""
+    """Pairs of different roots within each bucket of the sorted rows (k, k2, root, set, fp)."""
     held: list[np.ndarray] = []
 
     def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        k, k2, root, own = cols
-        edge = np.flatnonzero((k[1:] != k[:-1]) | (k2[1:] != k2[:-1])) + 1
-        stop = np.repeat(np.append(edge, len(k)), np.diff(np.concatenate([[0], edge, [len(k)]])))  # end of the bucket
-        edge = np.flatnonzero((k[1:] != k[:-1]) | (k2[1:] != k2[:-1]) | (root[1:] != root[:-1])) + 1
-        after = np.repeat(np.append(edge, len(k)), np.diff(np.concatenate([[0], edge, [len(k)]])))  # end of the root's rows
-        for i in np.flatnonzero(after < stop).tolist():
-            b = own[after[i] : stop[i]]
-            a = np.full(len(b), own[i])
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        k, k2, root, own, fp = cols
+        edge = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]) | (k2[1:] != k2[:-1])) + 1, [len(k)]])
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if root[a] != root[b - 1]:  # sorted by root: more than one
+                yield _apart(root[a:b], own[a:b], fp[a:b].view(np.uint64))
 
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -148,22 +168,45 @@ def _unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(held)
 
 
-def near_copies(docs: DataFrame, threshold: float = THRESHOLD, deep: int = DEEP) -> DataFrame:
-    """doc_id, set (long) and component_id, the smallest doc_id reachable over pairs of at least that similarity."""
+def groups(docs: DataFrame, threshold: float = THRESHOLD, deep: int = DEEP) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, k1, k2, set) of all documents, and (set, component, first): a class's smallest reachable doc_id, and
+    the document (doc_id, k1, k2) that stands for its group."""
     kind = dict(docs.dtypes)["doc_id"]
-    prints = written(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_signed, f"doc_id {kind}, set long, keys array<long>"), "prints")
-    classes = written(prints.groupBy("set").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "classes")
-    dealt = buckets(classes.select("set", "keys"), deep)
-    ends = dealt.groupBy("k", "k2").agg(F.min("set").alias("lo"), F.max("set").alias("hi"))
+    k1, k2 = keys_of(docs)
+    signed = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string")).mapInArrow(_signed, f"doc_id {kind}, k1 long, k2 long, set long, fp long, keys array<long>")
+    prints = written(signed, "prints")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")
+    classes = written(prints.groupBy("set").agg(F.min(place).alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
+    dealt = buckets(classes.select("set", "fp", "keys"), deep)
+    sets = shingles_of(docs, classes, written(dealt.select("set").distinct(), "wanted"))
+    # each side of a join is a table of its own, so that Spark can split the partition of a bucket or group that most share
+    ends = written(dealt.groupBy("k", "k2").agg(F.min("set").alias("lo"), F.max("set").alias("hi")), "ends")
     hubs = dealt.join(ends, ["k", "k2"]).select("set", F.explode(F.array("lo", "hi")).alias("hub")).where("set != hub")
-    links = verified(docs, hubs.select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")), threshold)
+    links = verified(sets, hubs.select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")), threshold)
     roots = components(links)
-    rooted = dealt.join(roots.withColumnRenamed("node", "set"), "set", "left").select("k", "k2", F.coalesce("root", "set").alias("root"), "set")
+    rooted = dealt.join(roots.withColumnRenamed("node", "set"), "set", "left").select("k", "k2", F.coalesce("root", "set").alias("root"), "set", "fp")
     apart = rooted.repartition("k", "k2").sortWithinPartitions("k", "k2", "root", "set").mapInArrow(_unconnected, "a long, b long")
-    apart = written(apart.distinct(), "apart")
-    more = verified(docs, apart, threshold)
+    more = verified(sets, apart, threshold)
     if not more.isEmpty():
         roots = components(links.union(more))
-    rooted = classes.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "set").join(rooted.join(least, "root").select("set", "component_id"), "set").select("doc_id", "set", "component_id")
+    dropped(dealt, sets, ends, links, more)
+    rooted = written(classes.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root")), "rooted")
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("first")), "least")
+    named = written(rooted.join(least, "root").select("set", F.col("first.doc_id").alias("component_id"), "first"), "named")
+    dropped(classes, roots, rooted, least)
+    return prints.select("doc_id", "k1", "k2", "set"), named
+
+
+def near_copies(docs: DataFrame, threshold: float = THRESHOLD, deep: int = DEEP) -> DataFrame:
+    """doc_id, set (long) and component_id, the smallest doc_id reachable over pairs of at least that similarity."""
+    rows, named = groups(docs, threshold, deep)
+    return rows.join(named, "set").select("doc_id", "set", "component_id")
+
+
+def first_copies(docs: DataFrame, threshold: float = THRESHOLD, deep: int = DEEP) -> DataFrame:
+    """docs with one document of each group: that with the smallest doc_id (a null one last; of equal ids one text)."""
+    _, named = groups(docs, threshold, deep)
+    one, two = free(docs, "_k1", "_k2")
+    first = named.select(F.col("first.k1").alias(one), F.col("first.k2").alias(two)).distinct()
+    keyed = docs.select(*every(docs), *(k.alias(n) for k, n in zip(keys_of(docs), (one, two), strict=True)))
+    return keyed.join(first, [one, two], "left_semi").dropDuplicates([one, two]).select(*every(docs))

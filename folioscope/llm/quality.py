@@ -11,7 +11,9 @@ which only the features are collected; everything else covers all documents.
 
 Defined results: a null text is an empty one and is scored; without labels, or with one class of them, the score is the
 smoothed share of good ones (0.5 without any); rows whose label or whose document is missing are not learned from; a
-null doc_id is held out. Labels, language, source and doc_id are no inputs.
+null doc_id is held out; rows stand for themselves, also repeated ones, and a doc_id that repeats teaches with each of its
+texts, within ``SAMPLE``; where gains tie, the first feature and the lowest cut win. A very long text is scored by one
+task, in whole. Labels, language, source and doc_id are no inputs. Other columns, whatever their names, pass unchanged.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from folioscope.llm import textbuf as tb
 from folioscope.llm.compression import duplicates
-from folioscope.llm.store import table
+from folioscope.llm.store import every, free, in_arrow, table
 
 SAMPLE, BINS, ROUNDS, RATE, PAIRS, PAIR_ROUNDS = 20_000, 32, 120, 0.15, 8, 30
 CUT = 0.3
@@ -208,10 +211,12 @@ def remainder(modulus: int) -> F.Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, learn: F.Column, most: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``most`` labelled documents to learn from, those with the least hash."""
+    """(h, text, label) of labelled documents to learn from: those of at most ``most`` labels, with the least hash h.
+
+    A doc_id that repeats in docs gives several rows, so callers keep the ``most`` least h of what they make of the texts."""
     chosen = labels.where(learn & F.col(column).isin(0, 1)).select("doc_id", F.col(column).cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
-    return docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")  # bounded by ``most``
+    chosen = chosen.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "label").limit(most)
+    return docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("h", "text", "label")  # bounded by ``most``
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,15 +224,15 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, buf, offs in tb.slices(batch.column(1)):
             x = features(buf, offs)
             yield pa.RecordBatch.from_arrays(
-                [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())), batch.column(2).slice(at, len(x))],
-                ["x", "label"],
+                [batch.column(0).slice(at, len(x)), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())), batch.column(2).slice(at, len(x))],
+                ["h", "x", "label"],
             )
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The model, learned from labels whose remainder modulo 5 is not 0."""
     sample = labelled(docs, labels, "quality", remainder(5) != 0, SAMPLE)
-    rows = sample.mapInArrow(_featured, "x array<double>, label int").toArrow()
+    rows = sample.mapInArrow(_featured, "h long, x array<double>, label int").orderBy("h", "x", "label").limit(SAMPLE).toArrow()
     if not rows.num_rows:
         return Model()
     x = np.array(rows["x"].combine_chunks().flatten()).reshape(-1, len(FEATURES))
@@ -236,22 +241,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(x[order], y[order])
 
 
-def _scored(shared):
+def _scored(shared, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for at, buf, offs in tb.slices(batch.column(batch.schema.get_field_index("text"))):
+            for at, buf, offs in tb.slices(batch.column(column).cast(pa.string())):
                 p = model.score(features(buf, offs))
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(p)) for c in batch.columns), pa.array(p)], [*batch.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(p)) for c in batch.columns), pa.array(p)], [f"c{k}" for k in range(len(batch.columns) + 1)])
 
     return run
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with _score added; all columns stay."""
+    """docs with _score added (with underscores behind it until the name is free); all columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(_scored(shared), ", ".join([*(f"`{n}` {k}" for n, k in docs.dtypes), "_score double"]))
+    return in_arrow(docs, _scored(shared, docs.columns.index("text")), [(*free(docs, "_score"), DoubleType())])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,4 +267,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    return scored(docs, train(docs, table(spark, sf_dir, "labels"))).where(F.col("_score") >= CUT).select(*docs.columns)
+    (score,) = free(docs, "_score")
+    return scored(docs, train(docs, table(spark, sf_dir, "labels"))).where(F.col(score) >= CUT).select(*every(docs))

@@ -5,12 +5,14 @@ of four 16-bit blocks, so they agree in two: each fingerprint goes into the six
 more than ``DEEP`` members is dealt out again by the same rule over four 8-bit blocks of its free 32 bits; such a bucket
 has 48 fixed bits, so 65,536 members at most, by construction and without a cap. Within a bucket the bits are stored in
 vertical planes, 64 fingerprints to a machine word; distances of whole words of them to many query fingerprints grow
-together in carry-save counters (a plane of ones, a plane of twos), and a block of queries is left as soon as all its
-distances exceed the radius. A bucket gives a spanning star of each of its groups, not pairs; components of those
+together in carry-save counters (``bitslice``), and a block of queries is left as soon as all its distances exceed the
+radius. A bucket gives a spanning star of each of its groups, not pairs; components of those
 edges over all buckets are those of the links.
 
 Defined results: a null text is an empty one; texts without a word have fingerprint zero and link like any other; a null
-doc_id takes part and is the smallest id where nothing else is reachable. Other columns are ignored.
+doc_id takes part and is the smallest id where nothing else is reachable; repeated rows give repeated results; a very long
+text is hashed by one task, in whole; without documents the result is empty. Other columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm.bitslice import close_pairs, listed_pairs
 from folioscope.llm.graph import components
-from folioscope.llm.near_copies import near_copies
-from folioscope.llm.store import table, written
+from folioscope.llm.near_copies import first_copies
+from folioscope.llm.store import dropped, table, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 DEEP = 2048
-_FULL = np.uint64(2**64 - 1)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -63,76 +65,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_prints, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
-def planes(fps: np.ndarray) -> np.ndarray:
-    """(64, words): bit i of word w of plane p is bit p of fingerprint 64 * w + i."""
-    n = len(fps)
-    bits = np.zeros((-(-n // 64) * 64, 64), np.uint8)
-    bits[:n] = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
-
-
-def _over(x: list[np.ndarray], radius: int) -> np.ndarray:
-    """Lanes whose counter (bit planes x, the last one sticky) is above the radius."""
-    out = x[-1].copy()
-    width = len(x) - 1
-    for value in range(radius + 1, 1 << width):
-        hit = np.full_like(out, _FULL)
-        for k in range(width):
-            hit &= x[k] if value >> k & 1 else ~x[k]
-        out |= hit
-    return out
-
-
-def _count(layers: Iterator[np.ndarray], shape: tuple, radius: int) -> np.ndarray:
-    """Lanes within the radius: each layer is a bit plane of differences. Ends early once all lanes are beyond it."""
-    width = (radius + 1).bit_length()
-    x = [np.zeros(shape, np.uint64) for _ in range(width + 1)]
-    over = None
-    for k, carry in enumerate(layers):
-        for c in x[:-1]:
-            c ^= carry  # sum
-            carry = carry & ~c  # carry where both were set
-        x[-1] |= carry
-        if k % 8 == 7:
-            over = _over(x, radius)
-            if (over == _FULL).all():
-                return np.zeros(shape, np.uint64)
-    return ~_over(x, radius)
-
-
-def close_pairs(fps: np.ndarray, radius: int = RADIUS, lanes: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j within the radius, by bit planes."""
-    n = len(fps)
-    p = planes(fps)
-    live = [k for k in range(64) if p[k].any() and (np.unpackbits(p[k].view(np.uint8), bitorder="little")[:n] == 0).any()]
-    step, found = max(1, lanes // p.shape[1]), ([], [])
-    for at in range(0, n, step):
-        own = fps[at : at + step]
-        w = at // 64  # earlier ones have met these queries
-        layers = (p[k, w:][None, :] ^ np.where(own >> np.uint64(k) & np.uint64(1), _FULL, np.uint64(0))[:, None] for k in live)
-        near = _count(layers, (len(own), p.shape[1] - w), radius)
-        rows, cols = np.nonzero(near)
-        if len(rows):
-            bits = np.unpackbits(near[rows, cols].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            r, b = np.nonzero(bits)
-            i, j = rows[r] + at, (cols[r] + w) * 64 + b
-            ok = (i < j) & (j < n)
-            found[0].append(i[ok])
-            found[1].append(j[ok])
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
-
-
-def listed_pairs(fps: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Which of the listed pairs are within the radius; the lanes are pairs, for many small buckets at once."""
-    out = np.zeros(len(i), bool)
-    for at in range(0, len(i), 1 << 15):
-        a = fps[i[at : at + (1 << 15)]] ^ fps[j[at : at + (1 << 15)]]
-        p = planes(a)
-        near = _count(iter(p), (p.shape[1],), radius)
-        out[at : at + len(a)] = np.unpackbits(near.view(np.uint8), bitorder="little")[: len(a)]
-    return out
-
-
 def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest index that each of n can reach over the pairs."""
     root = np.arange(n)
@@ -236,7 +168,8 @@ def links(fps: DataFrame, radius: int = RADIUS, deep: int = DEEP) -> DataFrame:
         raise ValueError("four blocks find distances up to 2")
     bucket = lambda pairs: F.explode(F.array(*[F.struct(F.lit(n).alias("t"), v.alias("k")) for n, v in pairs]))
     keyed = fps.select("fp", bucket(_blocks(F.col("fp"), 16)).alias("x")).select("fp", "x.t", "x.k")
-    counts = keyed.groupBy("t", "k").count().where("count > 1")
+    # a table of its own, so that Spark can split the partition of a block pair that most fingerprints share
+    counts = written(keyed.groupBy("t", "k").count().where("count > 1"), "counts")
     held = keyed.join(counts, ["t", "k"])
     flat = held.where(F.col("count") <= deep).select("t", "k", F.lit(0).alias("t2"), F.lit(0).cast("long").alias("k2"), "fp")
     more = held.where(F.col("count") > deep).withColumn("rest", _rest(F.col("fp")))
@@ -247,13 +180,17 @@ def links(fps: DataFrame, radius: int = RADIUS, deep: int = DEEP) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp (long) and component_id, the smallest doc_id reachable over links."""
+    """doc_id, fp (long) and component_id, the smallest doc_id reachable over links.
+
+    What joins is written before, so that Spark can split the partition of a fingerprint, or of a component, that a third
+    of all rows have."""
     prints = written(fingerprints(docs), "simhash")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(links(classes.select("fp"), radius))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    rooted = written(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = written(rooted.join(least, "root").select("fp", "component_id"), "named")
+    dropped(classes, roots, rooted, least)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -264,8 +201,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): that with the smallest doc_id; a row
-    repeated under one doc_id stays once. The parameters above bind op4's query only."""
-    first = near_copies(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_key")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of near copies (five-word shingles, similarity 0.8; ``near_copies``). The parameters
+    above bind op4's query only: ``links`` cannot find candidates at the ten bits or so that such copies differ in."""
+    return first_copies(docs)

@@ -4,6 +4,7 @@ import random
 import string
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import decontaminate as op
 from tests.llm.common import AWKWARD, documents, with_clashes
@@ -78,3 +79,27 @@ def test_stage_keeps_clean_ones(spark, sf):
     kept = op.stage(spark, docs, sf)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - bad
+
+
+def test_stage_judges_each_row_by_itself(spark, tmp_path):
+    """Equal and null ids over different texts, odd names of columns, repeated items, no items, no documents."""
+    leak = " ".join(f"item{k}" for k in range(20))
+    spark.createDataFrame([(1, leak), (1, leak), (None, leak), (2, None), (3, "short one")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, "clean text", 1), (None, f"before {leak} after", 2), (7, leak.upper(), 3), (7, "other clean text", 4), (None, None, 5), (8, "", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    df = df.select("*", *(F.lit("x").alias(name) for name in ("_k`ey", "_key", "_lines", "_score", "item_id", "a.b")))
+    kept = op.stage(spark, df, str(tmp_path))
+    assert kept.columns == df.columns
+    assert sorted(r[2] for r in kept.collect()) == [1, 4, 5, 6]
+    assert op.stage(spark, df.limit(0), str(tmp_path)).count() == 0
+    assert op.without_leaks(df, df.limit(0).select(F.col("doc_id").alias("item_id"), "text")).count() == 6
+    assert op.leaks(df, spark.read.parquet(str(tmp_path / "benchmark.parquet"))).count() == 6  # two texts, three items
+
+
+def test_items_that_share_their_shingles(spark):
+    """Many items of one template: windows are looked at once, whatever the number of items."""
+    stem = " ".join(f"w{k}" for k in range(30))
+    items = [(n, f"{stem} ending{n}") for n in range(300)]
+    docs = [(0, f"x y {stem} ending7 z"), (1, stem), (2, "nothing here " * 50)]
+    got = {tuple(r) for r in op.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute(docs, items) and len(got) == 600

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from folioscope.llm import line_dedup as op
-from tests.llm.common import AWKWARD, documents, with_clashes
+from tests.llm.common import AWKWARD, clashing, documents, other_texts, with_clashes
 
 
 def brute(texts: list[tuple[int, str | None]], least: int) -> dict[int, str | None]:
@@ -86,3 +86,25 @@ def test_null_and_repeated_ids(spark):
     out = sorted((str(r.doc_id), r.text) for r in op.dedup_lines(df).collect())
     assert out == [("3", ""), ("3", ""), ("4", ""), ("None", text)]
     assert op.stage(spark, df, "").count() == 1
+
+
+def test_different_texts_under_one_id(spark):
+    """Rows that share a doc_id, or have none, lose only what occurred earlier, whatever the columns' names."""
+    df = other_texts(spark)
+    kept = op.stage(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted(r.text for r in kept.collect()) == sorted(r.text for r in df.collect())
+    words = lambda seed: " ".join(f"w{seed}x{i}" for i in range(60))
+    more = clashing(spark.createDataFrame([(5, f"{words(9)}\n{words(1)}\nend"), (7, f"short\n{words(3)}"), (7, f"{words(8)}")], "doc_id long, text string"))
+    got = op.dedup_lines(df.union(more))
+    assert got.columns == [*df.columns, "_lines_", "_gone_", "_words_"]
+    texts = sorted(r.text for r in got.collect())
+    assert texts == sorted([*(r.text for r in df.collect()), f"{words(9)}\nend", "short", words(8)])
+    assert sum(r._words_ for r in got.collect()) == 120
+
+
+def test_a_passage_within_lines_stays(spark):
+    """What the method cannot see: a repeated passage that fills no line."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    out = op.dedup_lines(documents(spark, [f"a {passage} b", f"c {passage} d"])).collect()
+    assert sum(r._words for r in out) == 0

@@ -8,7 +8,8 @@ import xxhash
 
 from folioscope.llm import graph
 from folioscope.llm import simhash as op
-from tests.llm.common import AWKWARD, documents, with_clashes
+from tests.llm.common import AWKWARD, CLASHES, documents, other_texts, with_clashes
+from tests.llm.test_near_copies import plain_groups
 
 
 def plain_print(text):
@@ -77,7 +78,7 @@ def test_bit_planes_equal_popcounts():
     rnd = np.random.default_rng(0)
     fps = rnd.integers(0, 2**63, 700, dtype=np.uint64) & np.uint64(0xF00000000000F00F)
     near = {(i, j) for i in range(700) for j in range(i + 1, 700) if int(fps[i] ^ fps[j]).bit_count() <= 2}
-    assert set(zip(*(x.tolist() for x in op.close_pairs(fps)), strict=True)) == near
+    assert set(zip(*(x.tolist() for x in op.close_pairs(fps, 2)), strict=True)) == near
     i, j = np.triu_indices(200, 1)
     for radius in (0, 1, 2, 3, 5):
         got = op.listed_pairs(fps, i, j, radius)
@@ -102,9 +103,28 @@ def test_awkward(spark, texts):
         assert all(got[i].fp % 2**64 == plain_print(t) for i, t in enumerate(texts))
     kept = op.stage(spark, df, "")
     assert kept.columns == df.columns
-    assert kept.count() == len({r.component_id for r in got.values()})
+    assert kept.count() == len(set(plain_groups(dict(enumerate(texts))).values()))
 
 
 def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (9, "q w e r t y")], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in op.stage(spark, df, "").collect()) == ["3", "9"]
+
+
+def test_stage_keeps_distinct_texts_under_one_id(spark):
+    """Equal and null ids over different texts: no distinct text is lost, whatever the columns' names."""
+    df = other_texts(spark)
+    kept = op.stage(spark, df, "")
+    assert kept.columns == df.columns and set(CLASHES) <= set(df.columns)
+    assert sorted(r.text for r in kept.collect()) == sorted({r.text for r in df.collect()})
+    again = op.stage(spark, df.union(df), "")
+    assert sorted(r.text for r in again.collect()) == sorted({r.text for r in df.collect()})
+
+
+def test_links_of_a_hot_fingerprint(spark):
+    """A third of all rows with one fingerprint, and a bucket that all share."""
+    texts = ["the same few words here"] * 200 + [f"w{k} " * 4 + "tail" for k in range(200)] + [""] * 200
+    got = {r.doc_id: (r.fp % 2**64, r.component_id) for r in op.near_duplicates(documents(spark, texts)).collect()}
+    prints = {d: plain_print(t) for d, t in enumerate(texts)}
+    roots = plain_components(prints)
+    assert got == {d: (prints[d], roots[d]) for d in prints}
