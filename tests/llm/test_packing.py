@@ -46,7 +46,7 @@ def test_sf(spark, sf, shard):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = op.pack(docs, shard=shard).collect()
     sizes = check(rows, [(r.doc_id, r.text) for r in docs.collect()])
-    assert sum(x < 1024 for x in sizes) <= -(-sum(sizes) // shard)
+    assert sum(x < 1024 for x in sizes) <= len({r.sequence_id >> 32 for r in rows}) <= -(-sum(sizes) // shard)
 
 
 def plain_scores(tails, q, stats_of):
@@ -56,7 +56,7 @@ def plain_scores(tails, q, stats_of):
     out = []
     for d in tails:
         tf = Counter(d)
-        out.append(sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * len(d) / mean)) for t in set(q) if tf[t] and 2 * df[t] <= n))
+        out.append(sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * len(d) / mean)) for t in set(q) if tf[t]))
     return out
 
 
@@ -96,13 +96,47 @@ def test_scores_and_greedy_choice():
     assert op.fill(tails, stats, 100) == want
 
 
-def test_neighbours_share_words(spark):
-    """Two kinds of documents in one shard: windows don't mix them but at the end."""
+def test_asks_are_of_whole_documents():
+    """A tail whose document speaks of something else finds that document's neighbours."""
+    tails = [np.array(x, np.uint16) for x in ([1, 2], [1, 2, 3], [7, 8, 9], [5, 6])]
+    df = np.bincount(np.concatenate(tails), minlength=1 << 16)
+    stats = op.Statistics(df, 4, 10)
+    assert op.fill(tails, stats, 5)[0] == [(0, 0, 2), (1, 0, 3)]
+    assert op.fill(tails, stats, 5, [np.array([7, 8, 9], np.uint16), None, None, None])[0] == [(0, 0, 2), (2, 0, 3)]
+
+
+@pytest.mark.parametrize("shard", [1 << 19, 1500])
+def test_neighbours_share_words(spark, shard):
+    """Two kinds of documents, in one shard or in many: windows don't mix them but where one kind ends."""
     texts = [" ".join((f"alpha{k % 7}" if d % 2 else f"omega{k % 5}") for k in range(40 + d % 11)) for d in range(120)]
     kinds = defaultdict(set)
-    for r in op.pack(documents(spark, texts)).collect():
+    rows = op.pack(documents(spark, texts), shard=shard).collect()
+    for r in rows:
         kinds[r.sequence_id].add(r.doc_id % 2)
     assert sum(len(k) == 2 for k in kinds.values()) <= 2
+    assert (len({r.sequence_id >> 32 for r in rows}) > 5) == (shard == 1500)
+
+
+def test_copies_meet_over_many_shards(spark):
+    """Each text has a copy, far away in the table: both come into one shard, whose number grows with the table."""
+    rnd = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rnd.integers(0, 5000, 60)) for _ in range(300)]
+    where = {r.doc_id: r.sequence_id >> 32 for r in op.pack(documents(spark, texts + texts), shard=4096).collect()}
+    assert len(set(where.values())) > 20
+    assert sum(where[d] == where[d + 300] for d in range(300)) > 270
+
+
+def test_a_shard_of_the_smallest_tails():
+    """Blank texts have their end alone: a full shard of them is no quadratic task."""
+    import time
+
+    n = op.SHARD
+    began = time.time()
+    tails = [np.zeros(1, np.uint16)] * n
+    out = op.fill(tails, op.Statistics(np.bincount([0], [n], 1 << 16), n, n))
+    assert [len(p) for p in out] == [1024] * (n // 1024)
+    assert out[1][0] == (1024, 0, 1)
+    assert time.time() - began < 30
 
 
 @pytest.mark.parametrize("texts", [AWKWARD, []])
