@@ -2,14 +2,17 @@
 
 A ratio is a text's UTF-8 bytes over those of its zstandard frame. Text that repeats compresses too well, noise too
 little; how well ordinary text compresses depends on its length, so the limits of the whole text are read from a curve
-over log2 of its bytes, straight between the points of ``BANDS``, level beyond them. Each full chunk of ``CHUNK`` bytes
-has one band, as its length is fixed; a text passes if at most ``CHUNK_SHARE`` of its chunks leave it. Before that, base
+over log2 of its bytes, straight between the points of ``BANDS``, level beyond them. A text of ``CHUNK`` bytes or more is
+cut into chunks of that length, the last of which takes what is left behind it; a chunk's limits are those of the curve at
+its own length, wider by ``CHUNK_SLACK``; a text passes if at most ``CHUNK_SHARE`` of its chunks leave them. Before that, base
 rules reject texts under 50 words and those more than half of whose words lie in repeated three-word windows.
 
 The curve was set from the labelled good documents of the test tables: about the 99.8th percentile for the upper limits.
 
 Defined results: a null text has no words, ratio null and fails the base rules, as an empty one does. Words are told
-apart by 64-bit hashes within a text. Rows stand for themselves: repeated rows give repeated results.
+apart by 64-bit hashes within a text. Rows stand for themselves: repeated rows and rows with a null doc_id give a result
+each; a ratio that equals a limit is within it; a very long text is compressed by one task, in whole; without documents the
+result is empty. Columns other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ BANDS = (
     (11, 1.55, 2.15), (11.5, 1.60, 2.205), (12, 1.65, 2.275), (12.5, 1.70, 2.315), (13, 1.75, 2.37), (13.5, 1.80, 2.415),
     (14, 1.85, 2.455), (14.5, 1.90, 2.495), (15, 1.95, 2.535), (16, 2.00, 2.60), (17, 2.00, 2.68), (20, 2.00, 2.95),
 )
-CHUNK_BAND = (1.30, 2.06)
+#: A chunk may be so much below and above the limits of a whole text of its length.
+CHUNK_SLACK = (0.15, 0.025)
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -76,26 +80,30 @@ def statistics(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+def limits(n_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper limit of the whole text's ratio."""
+    x = np.log2(np.maximum(n_bytes, 1))
+    at, low, high = (np.array(v) for v in zip(*BANDS, strict=True))
+    return np.interp(x, at, low), np.interp(x, at, high)
+
+
+_AT = limits(np.arange(2 * CHUNK))  # of all lengths that a chunk can have
+
+
 def ratios(data: bytes | memoryview, press: zstandard.ZstdCompressor, chunk: int = CHUNK) -> tuple[float | None, int, int]:
-    """Ratio of the whole, number of its full chunks, and of those outside their band."""
+    """Ratio of the whole, number of its chunks, and of those outside their band."""
     n = len(data)
     if not n:
         return None, 0, 0
-    low, high = CHUNK_BAND
+    below, above = CHUNK_SLACK
     bad, chunks = 0, n // chunk
     for k in range(chunks):
-        if not low <= chunk / len(press.compress(data[k * chunk : (k + 1) * chunk])) <= high:
+        part = data[k * chunk : n if k == chunks - 1 else (k + 1) * chunk]
+        if not _AT[0][len(part)] - below <= len(part) / len(press.compress(part)) <= _AT[1][len(part)] + above:
             bad += 1
     return n / len(press.compress(data)), chunks, bad
 
 
-def limits(n_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper limit of the whole text's ratio."""
-    x = np.log2(np.maximum(n_bytes, 1))
-    at, low, high = (np.array(v) for v in zip(*BANDS, strict=True))
-    return np.interp(x, at, low), np.interp(x, at, high)
-
-
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 

@@ -9,10 +9,12 @@ side by side.
 
 Ids are counted over all documents; the lengths of the codes are as many as the vocabulary has ids, whatever the corpus.
 Documents are dealt out by range of doc_id and sorted; a part is a range, files follow one another in it. ``start`` is a
-sum over the files' own token counts, of which there is one row for each part.
+running sum over the parts' own token counts, taken in two steps and joined as a table.
 
-Defined results: a null text is an empty one and has the end alone; rows with one doc_id stand next to each other in any
-order, null doc_ids first.
+Defined results: a null text is an empty one and has the end alone; rows with one doc_id (ties) stand next to each other in
+the order in which they are read, null doc_ids first; repeated rows are written each; a very long text is encoded and held
+by one task, in whole, in a block of its own length; without documents there is no file and no row. Columns other than
+doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.binsink import read_files, write_files
-from folioscope.llm.store import place, removed, table
+from folioscope.llm.store import place, removed, table, written
 from folioscope.llm.tokens import encoder, vocabulary_path, with_end
 
 VOCABULARY, END = "word_bpe_49k.json", 1
@@ -255,7 +257,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
     lengths = code_lengths(counts)
     shared = spark.sparkContext.broadcast((lengths, canonical(lengths)))
     parts = max(1, -(-2 * int(counts.sum()) // PART))
-    ordered = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), "n"]  # a number of the row's own, so that many rows with one doc_id fill many parts
+    ordered = ids.withColumn("n", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("n")
     write_files(ordered.mapInArrow(_files(shared), "file binary"), "file", path, TRAILER)
     removed(spark, ids_at)
 
@@ -282,13 +285,22 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 before += int(first[-1])
 
 
+def offsets(parts: DataFrame, group: int = 4096) -> DataFrame:
+    """(part, before): the sum of n of all earlier parts, from the rows (part, n) of files.
+
+    Sums of ``group`` parts first, then within the groups: no task sees more than a few thousand rows, nor does the driver."""
+    own = parts.groupBy("part").agg(F.sum("n").alias("n")).withColumn("g", F.expr(f"part div {group}"))
+    sums = own.groupBy("g").agg(F.sum("n").alias("n"))
+    ahead = sums.select("g", F.coalesce(F.sum("n").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return own.withColumn("within", within).join(ahead, "g").select("part", (F.col("ahead") + F.col("within")).alias("before"))
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document of the files."""
     rows = read_files(spark, path).mapInArrow(_rows, "part long, doc_id long, local long, n_tokens long, ids_crc32 long")
-    heads = read_files(spark, path).mapInArrow(_totals, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
-    sums = np.concatenate([[0], np.cumsum([r.n for r in heads])]).tolist()
-    offsets = spark.createDataFrame([(r.part, s) for r, s in zip(heads, sums[:-1], strict=True)], "part long, before long")  # a row for each part
-    return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    before = written(offsets(read_files(spark, path).mapInArrow(_totals, "part long, n long")), "offsets")
+    return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

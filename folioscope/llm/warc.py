@@ -11,7 +11,9 @@ are revisits that refer to it and carry no payload. Payloads are told apart by S
 payloads' digests are grouped; the texts themselves move once, by a unique key, however many of them are equal.
 
 Defined results: a null html is an empty payload; a null url leaves out the target URI; control characters of a url are
-percent-encoded; a null page_id ranks below all others; of rows with one page_id and payload a single one is the response.
+percent-encoded; a null page_id ranks below all others; of rows with one page_id and payload (ties) the one read last is
+the response; a very long payload makes a frame of its own, held by one task in whole; without pages there is no bundle and
+no row. Columns other than page_id, url and html, whatever their names, are not read.
 """
 
 from __future__ import annotations

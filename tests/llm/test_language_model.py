@@ -51,32 +51,94 @@ def test_held_out_texts_are_likelier_than_by_counts(spark):
 
 
 def test_probabilities_add_up():
-    """Over all classes in any context; over known words and the unknown one within buckets."""
-    rnd = np.random.default_rng(0)
-    p = op.start_parameters(rnd.integers(0, 100, op.CLASSES).astype(float))
+    """Over all classes in any context; over known words and the unknown one within groups."""
+    rnd, size = np.random.default_rng(0), 512
+    p = op.start_parameters(rnd.integers(0, 100, size).astype(float))
     p["q"] += rnd.standard_normal(p["q"].shape).astype(np.float32)
     t = op.Tables(p)
-    for two, one in ((3, 4), (op.CLASSES, op.CLASSES), (1000, 1)):
-        w = np.arange(op.CLASSES)
+    for two, one in ((3, 4), (size, size), (500, 1)):
+        w = np.arange(size)
         assert abs((10.0 ** t.logs(np.full_like(w, two), np.full_like(w, one), w)).sum() - 1) < 1e-4
-    keys, buckets, counts = np.arange(1, 2001), np.arange(2000) % op.BUCKETS, rnd.integers(1, 50, 2000)
-    keys, buckets, counts = (np.append(a, x).astype(np.int64) for a, x in ((keys, op.END), (buckets, -1), (counts, 7)))
-    stats = {int(b): (int(counts[buckets == b].sum()), int((buckets == b).sum())) for b in np.unique(buckets)}
-    vocab = op.Vocabulary(keys, buckets, counts, stats, 1)
+    keys, shapes, counts = np.arange(1, 2001), np.arange(2000) % op.SHAPES, rnd.integers(1, 50, 2000)
+    keys, shapes, counts = (np.append(a, x).astype(np.int64) for a, x in ((keys, op.END), (shapes, -1), (counts, 7)))
+    stats = {int(b): (int(counts[shapes == b].sum()), int((shapes == b).sum())) for b in np.unique(shapes)}
+    vocab = op.Vocabulary(keys, shapes, counts, stats, 1)
     at = vocab.find(keys)
     assert (vocab.keys[at].view(np.int64) == keys).all() and vocab.find(np.array([5000]))[0] == -1
+    assert vocab.class_tokens.sum() == counts.sum()
     for b in (0, 17):
-        k = op.CLASSES - op.BUCKETS + b
+        k = int(vocab.group(np.array(b)))
         logs = vocab.logs[(vocab.kind == k)]
         assert abs((10 ** (logs - vocab.inside[k])).sum() + 10 ** -vocab.inside[k] - 1) < 1e-9
 
 
+def test_classes_grow_with_the_corpus():
+    sizes = [op.classes_for(n) for n in (0, 10**6, 10**8, 5 * 10**8, 10**13)]
+    assert sizes == [512, 512, 1024, 2048, 4096]
+
+
+def test_score_equals_token_by_token(spark, sf, monkeypatch):
+    """The whole score from its definition: classes by dictionaries, a softmax for each token, a share within its group."""
+    held_p = {}
+
+    def parameters(prepared, vocab):
+        rnd = np.random.default_rng(7)
+        p = op.start_parameters(vocab.class_tokens)
+        held_p.update({k: v + rnd.standard_normal(v.shape).astype(np.float32) * 0.3 for k, v in p.items()})
+        return held_p
+
+    monkeypatch.setattr(op, "train", parameters)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = [(d, t if d % 3 else " ".join((t or "").split()[:40])) for d, t in rows if len(t or "") < 3000] + [(10_000, None), (10_001, "")]
+    got = {r.doc_id: r.score for r in op.scored(spark.createDataFrame(rows, "doc_id long, text string"), op.remainder(7) == 2).collect()}
+    toks = {d: WORD.findall((t or "").encode().lower()) for d, t in rows}
+    c = Counter(w for d, ws in toks.items() if not held(d) for w in ws)
+    ends, words = sum(not held(d) for d in toks), sorted({w for ws in toks.values() for w in ws})
+    line = np.frombuffer(b" ".join(words), np.uint8)
+    keys, shapes, _ = op.tokens(line, np.array([0, len(line)]))
+    key, shape = dict(zip(words, keys.tolist(), strict=True)), dict(zip(words, shapes.tolist(), strict=True))
+    size = op.classes_for(sum(c.values()) + ends)
+    top = sorted(c, key=lambda w: (-c[w], key[w]))[: size - size // 4 - 1]
+    own = {w: 1 + k for k, w in enumerate(top)}
+    group = lambda w: own.get(w, size - size // 4 + shape[w] % (size // 4))
+    n, v = Counter(), Counter()
+    for w in c:
+        if w not in own:
+            n[group(w)] += c[w]
+            v[group(w)] += 1
+    p = {k: x.astype(float) for k, x in held_p.items()}
+    for d, ws in list(toks.items())[::7] + [(k, toks[k]) for k in (10_000, 10_001)]:
+        total, two, one = 0.0, size, size
+        for w in [*ws, None]:
+            k = 0 if w is None else group(w)
+            z = p["q"] @ (p["r"][one] @ p["c1"] + p["r"][two] @ p["c2"]) + p["b"]
+            total += z[k] / math.log(10) - math.log10(np.exp(z).sum())
+            if w is not None and w not in own:
+                total += math.log10((c[w] + 1) / (n[k] + v[k] + 1))
+            two, one = one, k
+        assert abs(got[d] - total) < 1e-4 * max(1, abs(total))
+
+
+def test_scores_do_not_hang_on_the_layout(spark, sf, monkeypatch):
+    """The same documents in one partition and in eight, in another order and batch size: equal scores, of several learners."""
+    monkeypatch.setattr(op.train, "__defaults__", (4000,))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    one = {r.doc_id: r.score for r in op.scored(docs.coalesce(1), op.remainder(7) == 2).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        many = {r.doc_id: r.score for r in op.scored(docs.repartition(8), op.remainder(7) == 2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert one.keys() == many.keys()
+    assert all(math.isclose(one[d], many[d], rel_tol=1e-9) for d in one)  # but for the rounding of sums
+
+
 def test_noise_contrastive_learning_finds_structure():
     rnd = np.random.default_rng(2)
     w = np.zeros(120_000, np.int64)
     for i in range(1, len(w)):
         w[i] = (w[i - 1] * 7 + 3 + rnd.integers(0, 3)) % 50
-    n = np.bincount(w, minlength=op.CLASSES).astype(float)
+    n = np.bincount(w, minlength=512).astype(float)
     learner = op.Learner(op.start_parameters(n), n, 0)
     for _ in range(4):
         learner.learn(w[:-2], w[1:-1], w[2:])

@@ -123,3 +123,28 @@ def test_damage_is_seen(spark):
     data[at + n - 1] ^= 16
     with pytest.raises(ValueError):
         op.Reader(data).block(0, lookup)
+
+
+def test_offsets_are_running_sums(spark):
+    import random
+
+    rnd = random.Random(4)
+    parts = [(p, rnd.randint(0, 9)) for p in range(0, 900, 3) for _ in range(rnd.randint(1, 3))]
+    want, total = {}, 0
+    for p in sorted({p for p, _ in parts}):
+        want[p] = total
+        total += sum(n for q, n in parts if q == p)
+    frame = spark.createDataFrame(parts, "part long, n long")
+    for group in (4096, 7):
+        assert {r.part: r.before for r in op.offsets(frame, group).collect()} == want
+
+
+def test_files_keep_every_byte(spark):
+    """What the files' sink relies on: rows of any bytes are written and read unchanged."""
+    from folioscope.llm import binsink, store
+
+    rows = [bytes(range(256)) * k + b"\xff\xfe\n\r\nEND!" for k in (1, 3, 40)] + [b"END!"]
+    path = store.place(spark, "bytes")
+    binsink.write_files(spark.createDataFrame([(r,) for r in rows], "file binary"), "file", path, b"END!")
+    got = sorted(bytes(r.content) for r in binsink.read_files(spark, path).collect())
+    assert got == sorted(rows)
