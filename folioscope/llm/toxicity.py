@@ -6,14 +6,18 @@ borders), ASCII letters in lower case and ASCII punctuation cut off as white spa
 either direction; attention pools its states, a logistic unit scores the pooled state. A text's score is that of its
 worst window, and all windows of all texts are scored. Inputs are projected once for each distinct word of a slice.
 
-Learning, on the driver, in numpy: at most ``SAMPLE`` labelled documents of each class (those with the least hash of
-doc_id), Adam, cross-entropy of the worst window: windows that count are chosen anew in each epoch by the model as it
+Learning, on the driver, in numpy: at most ``SAMPLE`` labelled documents of each class with at most ``WINDOWS`` windows
+together (those with the least hash of doc_id), whose words and windows are prepared where the texts are; no text comes to
+the driver. Adam, cross-entropy of the worst window: windows that count are chosen anew in each epoch by the model as it
 stands, with some at random, so that one toxic word in a long text is found and a long harmless text isn't accused. Last,
 the logit is calibrated (Platt) to the share of the classes among all labelled documents.
 
 Defined results: a null or empty text has one window without a word. Without labels, or with one class of them, the score
 is the smoothed share of toxic ones (0.5 without any). Null labels and labels without a document teach nothing; a null
-doc_id counts as an empty text in the split. Labels, language, source and doc_id are no inputs.
+doc_id counts as an empty text in the split; rows stand for themselves, also repeated ones, and a doc_id that repeats
+teaches with each of its texts, within the bounds. Of windows with equal scores (ties) the first counts. A very long text
+is scored by one task, in whole, a slice of its windows at a time. Without documents the result is empty. Labels, language,
+source and doc_id are no inputs; columns other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,9 +32,9 @@ from pyspark.sql import functions as F
 from folioscope.llm import textbuf as tb
 from folioscope.llm.decontaminate import _PLAIN
 from folioscope.llm.quality import labelled, remainder
-from folioscope.llm.store import table
+from folioscope.llm.store import dropped, table, written
 
-SAMPLE, WINDOW, STRIDE = 3000, 24, 12
+SAMPLE, WINDOWS, WINDOW, STRIDE = 3000, 1 << 17, 24, 12
 WORDS, CHARS, DIM, HIDDEN, EPOCHS, UPDATES, BATCH, RATE = 1 << 13, 1 << 14, 12, 8, 6, 600, 64, 0.01
 CUT = 0.7
 NAMES = ("word", "char", "wf", "uf", "bf", "wb", "ub", "bb", "att", "att_b", "query", "out", "out_b")
@@ -74,6 +78,20 @@ class Words:
         ids[inside] = number[place[inside]] + 1
         self.windows = ids
 
+    def packed(self) -> tuple[bytes, bytes, bytes, bytes]:
+        """A single text's words and windows as bytes: hashes, numbers of runs, runs, windows."""
+        return self.keys.tobytes(), self.n.astype(np.int32).tobytes(), self.tri.astype(np.uint16).tobytes(), self.windows.tobytes()
+
+    @classmethod
+    def unpacked(cls, keys: bytes, sizes: bytes, runs: bytes, windows: bytes) -> Words:
+        out = cls.__new__(cls)
+        out.keys, out.n, out.tri = np.frombuffer(keys, np.uint64), np.frombuffer(sizes, np.int32).astype(np.int64), np.frombuffer(runs, np.uint16)
+        out.bucket = (out.keys >> np.uint64(20)).astype(np.int64) % WORDS
+        out.split = np.concatenate([[0], np.cumsum(out.n)]).astype(np.int64)
+        out.windows = np.frombuffer(windows, np.int32).reshape(-1, WINDOW)
+        out.text, out.first = np.zeros(len(out.windows), np.int64), np.array([0, len(out.windows)])
+        return out
+
     @classmethod
     def joined(cls, parts: list[Words]) -> Words:
         """The words and windows of several groups of texts as one."""
@@ -151,12 +169,22 @@ def forward(p: dict, vectors: np.ndarray, ids: np.ndarray, keep: dict | None = N
     return pooled @ p["out"] + p["out_b"][0]
 
 
+def _summed(at: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+    """Rows added to out by index."""
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        s = at[order]
+        new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        out[s[new]] += np.add.reduceat(rows[order], new, axis=0)
+
+
 def _back(p: dict, g: dict, kept: list, dh_all: np.ndarray, names: tuple, vectors: np.ndarray, ids: np.ndarray, dvec: np.ndarray) -> None:
     """Gradients of one direction, added to g and to those of the words' vectors."""
     wn, un, bn = names
     u, hid = p[un], p[un].shape[0]
     dh = np.zeros_like(dh_all[0])
     dxp = np.zeros((len(vectors), 3 * hid), np.float32)
+    steps = []
     for t, h, gates, z, r, c, m in reversed(kept):
         dh = dh + dh_all[t]
         d = dh * m
@@ -164,9 +192,10 @@ def _back(p: dict, g: dict, kept: list, dh_all: np.ndarray, names: tuple, vector
         dc = d * (1 - z) * (1 - c * c)
         dr = dc * gates[:, 2 * hid :] * r * (1 - r)
         dg = np.concatenate([dz, dr, dc * r], 1)
-        np.add.at(dxp, ids[:, t], np.concatenate([dz, dr, dc], 1))
+        steps.append((ids[:, t], np.concatenate([dz, dr, dc], 1)))
         g[un] += h.T @ dg
         dh = dh * ~m + d * z + dg @ u.T
+    _summed(*(np.concatenate(x) for x in zip(*steps, strict=True)), dxp)
     dxp[0] = 0
     g[wn] += vectors.T @ dxp
     g[bn] += dxp.sum(0)
@@ -197,10 +226,10 @@ def gradients(p: dict, words: Words, ids: np.ndarray, y: np.ndarray, weight: np.
     _back(p, g, keep["kf"], dh[:, :, :hid], ("wf", "uf", "bf"), vectors, ids, dvec)
     _back(p, g, keep["kb"], dh[:, :, hid:], ("wb", "ub", "bb"), vectors, ids, dvec)
     used = np.flatnonzero(np.abs(dvec[1:]).sum(1))
-    np.add.at(g["word"], words.bucket[used], dvec[1 + used])
+    _summed(words.bucket[used], dvec[1 + used], g["word"])
     n = words.n[used]
     tri = np.repeat(words.split[:-1][used] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    np.add.at(g["char"], words.tri[tri], np.repeat(dvec[1 + used] / n[:, None], n, axis=0))
+    _summed(words.tri[tri], np.repeat(dvec[1 + used] / n[:, None], n, axis=0), g["char"])
     loss = -np.log(np.where(y == 1, prob, 1 - prob) + 1e-9)
     return float((loss * weight).sum()), g
 
@@ -251,8 +280,8 @@ def _platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
     return scale, float(v[1]) - scale * float(mid)
 
 
-def fit(texts: list[str | None], y: np.ndarray, share: float, seed: int = 11) -> Model:
-    """share: of toxic ones among all labelled documents, to which the scores are calibrated.
+def fit(texts: list[Words], y: np.ndarray, share: float, seed: int = 11) -> Model:
+    """From labelled texts. share: of toxic ones among all labelled documents, to which the scores are calibrated.
 
     At least EPOCHS epochs, and as many more as small samples need for UPDATES steps, up to four times that."""
     bad = float(y.sum())
@@ -264,7 +293,7 @@ def fit(texts: list[str | None], y: np.ndarray, share: float, seed: int = 11) ->
     own = order[len(y) // 5 :]
 
     def prepared(rows: np.ndarray) -> Words:
-        return Words.joined([Words(buf, offs) for _, buf, offs in tb.slices(pa.array([texts[i] or "" for i in rows], pa.string()))])
+        return Words.joined([texts[i] for i in rows])
 
     words, target = prepared(own), y[own]
     p = new_parameters(seed)
@@ -318,13 +347,48 @@ def _subset(words: Words, numbers: np.ndarray) -> Words:
     return few
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    """The model, learned from labels whose remainder modulo 3 is not 1."""
+def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What learning needs of each text: its distinct words, as hashes and hashed runs of bytes, and its windows of them."""
+    for batch in batches:
+        texts = batch.column(2).cast(pa.large_binary()).fill_null(b"")
+        rows = []
+        for k in range(len(texts)):
+            buf = np.frombuffer(texts[k].as_buffer(), np.uint8)
+            rows.append(Words(buf, np.array([0, len(buf)])).packed())
+        size = [len(r[-1]) // (4 * WINDOW) for r in rows]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), batch.column(3), pa.array(size, pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(4))],
+            ["n", "h", "label", "size", "keys", "sizes", "runs", "windows"],
+        )
+
+
+def chosen(sizes: list[tuple], most: int, windows: int) -> list[int]:
+    """Numbers of the rows (h, size, n) to learn from: those with the least h, at most ``most``, with ``windows`` windows together."""
+    out, left = [], windows
+    for _, size, n in sorted(sizes):
+        if len(out) < most and size <= left:
+            out.append(n)
+            left -= size
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, windows: int = WINDOWS) -> Model:
+    """The model, learned from labels whose remainder modulo 3 is not 1. The driver gets windows, no texts."""
     learn = remainder(3) != 1
-    parts = [labelled(docs, labels.where(F.col("toxic") == k), "toxic", learn, most).select("text", "label") for k in (0, 1)]
-    rows = sorted(((r.text or "", r.label) for r in parts[0].union(parts[1]).collect()))  # 2 * most at the most
+    parts = [labelled(docs, labels.where(F.col("toxic") == k), "toxic", learn, most) for k in (0, 1)]
+    rows = parts[0].union(parts[1]).select(F.monotonically_increasing_id().alias("n"), "h", "text", "label")
+    held = written(rows.mapInArrow(_windowed, "n long, h long, label int, size long, keys binary, sizes binary, runs binary, windows binary"), "windows")
+    light = held.select("label", "h", "size", "n").collect()  # 2 * most rows, but for doc_ids that repeat
+    pick = [n for k in (0, 1) for n in chosen([(r.h, r.size, r.n) for r in light if r.label == k], most, windows)]
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame([(n,) for n in pick], "n long")
+    table_ = held.join(F.broadcast(wanted), "n").toArrow()  # 2 * windows windows at the most
+    table_ = table_.sort_by([("h", "ascending"), ("label", "ascending"), ("keys", "ascending"), ("windows", "ascending")])
+    texts = [Words.unpacked(*(x.as_py() for x in r)) for r in zip(*(table_[c].combine_chunks() for c in ("keys", "sizes", "runs", "windows")), strict=True)]
+    y = table_["label"].to_numpy().astype(np.float64)
+    dropped(held)
     n = labels.where(learn & F.col("toxic").isin(0, 1)).agg(F.avg("toxic").alias("share")).first().share
-    return fit([t for t, _ in rows], np.array([k for _, k in rows], np.float64), float(n or 0.0))
+    return fit(texts, y, float(n or 0.0))
 
 
 def _scored(shared):

@@ -81,3 +81,73 @@ def test_joined_words_are_those_of_all_texts():
     whole, parts = op.Words(*joined(texts)), op.Words.joined([op.Words(*joined(texts[:2])), op.Words(*joined(texts[2:]))])
     for name in ("keys", "bucket", "n", "split", "tri", "windows", "text", "first"):
         assert np.array_equal(getattr(whole, name), getattr(parts, name)), name
+
+
+def plain_logit(p, text):
+    """The worst window's logit, one window and one step at a time, from the text's words."""
+    import re
+
+    from folioscope.llm import textbuf as tb
+
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    plain = re.sub(rb"[!-/:-@\[-`{-~]", b" ", (text or "").encode().lower())
+    words = re.findall(rb"[^\x20\x09-\x0D]+", plain)
+    vector = {}
+    for w in set(words):
+        h = tb.hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
+        padded = b" " + w + b" " * 4
+        runs = []
+        for k in range(len(w)):
+            for size, mark in ((3, 0), (5, 1 << 40)):
+                key = sum(padded[k + i] << 8 * i for i in range(size)) + mark
+                runs.append(int(tb.mix(np.array([key], np.uint64))[0]) >> 30 & (op.CHARS - 1))
+        vector[w] = p["char"][runs].mean(0) + p["word"][(int(h) >> 20) % op.WORDS]
+    best = -np.inf
+    for at in range(0, max(1, len(words) - op.WINDOW + op.STRIDE), op.STRIDE):
+        own = words[at : at + op.WINDOW]
+        states = {}
+        for wn, un, bn, order in (("wf", "uf", "bf", range(len(own))), ("wb", "ub", "bb", range(len(own) - 1, -1, -1))):
+            h = np.zeros(op.HIDDEN)
+            for k in order:
+                x, g = vector[own[k]] @ p[wn] + p[bn], h @ p[un]
+                n = op.HIDDEN
+                z, r = sig(x[:n] + g[:n]), sig(x[n : 2 * n] + g[n : 2 * n])
+                c = np.tanh(x[2 * n :] + r * g[2 * n :])
+                h = (1 - z) * c + z * h
+                states.setdefault(k, []).append(h)
+        if not own:
+            return float(p["out_b"][0])
+        rows = np.array([np.concatenate(states[k]) for k in range(len(own))])
+        e = np.tanh(rows @ p["att"] + p["att_b"]) @ p["query"]
+        e = np.exp(e - e.max())
+        best = max(best, float((e / e.sum()) @ rows @ p["out"] + p["out_b"][0]))
+    return best
+
+
+def test_scores_equal_one_window_at_a_time(spark, sf):
+    p = op.new_parameters(5)
+    p = {k: (v + 0.2 * np.random.default_rng(1).standard_normal(v.shape)).astype(np.float32) for k, v in p.items()}
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if len(r.text or "") < 2500][:40]
+    rows += [(1000, None), (1001, ""), (1002, "Word, WORD; word"), (1003, "é " * 25), (1004, "a " * 24), (1005, "--- !!")]
+    got = {r.doc_id: r.score for r in op.scored(spark.createDataFrame(rows, "doc_id long, text string"), op.Model(p, 1.3, -0.2)).collect()}
+    exact = {k: v.astype(float) for k, v in p.items()}
+    for d, t in rows:
+        if d != 1001 and d != 1000 and d != 1005:
+            assert abs(got[d] - 1 / (1 + np.exp(-(1.3 * plain_logit(exact, t) - 0.2)))) < 1e-4, d
+    assert got[1000] == got[1001] == got[1005]
+
+
+def test_sample_is_bounded_by_windows():
+    rows = [(5, 10, 0), (1, 90, 1), (2, 30, 2), (3, 8, 3), (4, 2, 4)]
+    assert op.chosen(rows, 9, 100) == [1, 3, 4]  # the second would be too many, later ones fit
+    assert op.chosen(rows, 2, 1000) == [1, 2]
+
+
+def test_driver_gets_windows_not_texts(spark, sf):
+    """Texts that travel as words and windows are those that the texts give."""
+    texts = ["one two three " * 20, "", "two, five", "é x"]
+    for t in texts:
+        own = op.Words(*joined([t]))
+        back = op.Words.unpacked(*own.packed())
+        for name in ("keys", "bucket", "n", "split", "tri", "windows", "text", "first"):
+            assert np.array_equal(getattr(own, name), getattr(back, name)), name
