@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -42,8 +42,8 @@ def within(layers: Iterator[np.ndarray], shape: tuple, radius: int) -> np.ndarra
     return ~beyond
 
 
-def close_pairs(fps: np.ndarray, radius: int, group: np.ndarray | None = None, lanes: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j within the radius; with groups, those of different ones."""
+def close_pairs(fps: np.ndarray, radius: int, keep: Callable | None = None, lanes: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i < j within the radius; of these the ones that keep(i, j) holds for."""
     n = len(fps)
     p = planes(fps)
     live = [k for k in range(64) if p[k].any() and (np.unpackbits(p[k].view(np.uint8), bitorder="little")[:n] == 0).any()]
@@ -59,8 +59,8 @@ def close_pairs(fps: np.ndarray, radius: int, group: np.ndarray | None = None, l
             r, b = np.nonzero(bits)
             i, j = rows[r] + at, (cols[r] + w) * 64 + b
             ok = (i < j) & (j < n)
-            if group is not None:
-                ok[ok] = group[i[ok]] != group[j[ok]]
+            if keep is not None:
+                ok[ok] = keep(i[ok], j[ok])
             found[0].append(i[ok])
             found[1].append(j[ok])
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)

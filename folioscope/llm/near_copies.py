@@ -5,10 +5,12 @@ Texts with equal shingle sets are one class. At a similarity of 0.8 SimHash fing
 which no split of the bits into blocks reaches; so buckets are formed by ``BANDS`` bands of ``ROWS`` minima, which miss a
 pair of that similarity with a probability of 0.59**24, 4e-6. A bucket with more than ``DEEP`` classes is dealt again by
 the other bands (a pair then has to agree in two bands: missed with 6e-5). Every member of a bucket is first verified
-against the smallest and the greatest class there. Of those that are not connected afterwards, only pairs whose SimHash
-fingerprints over the same shingles differ in at most ``RADIUS`` bits follow, compared in bit planes (at 0.8 the distance
-is 9.7 with a deviation of 2.9: missed with 1e-6); so a cluster costs pairs in proportion to its members, not to their
-square, and texts that only share a bucket cost none.
+against the smallest and the greatest class there. Of those that are not connected afterwards, SimHash fingerprints over
+the same shingles are compared in bit planes, and pairs that differ in more than ``RADIUS`` bits are left (at 0.8 the
+distance is 9.7 with a deviation of 2.9: missed with 1e-6): each class is verified against the closest one, and then all
+pairs that are still apart, but for those that cannot have the similarity, as too many shingles of either are in no other
+class. So a cluster costs pairs in proportion to its members, not to their square, and texts that only share a bucket or a
+passage cost next to none.
 
 Defined results: words are those of SimHash (white space, ASCII case); a text of under five words has one shingle, all
 its words; null, empty and blank texts are equal; a document is a doc_id with a text: rows that share both are one, rows
@@ -135,23 +137,24 @@ def buckets(classes: DataFrame, deep: int = DEEP) -> DataFrame:
     return out
 
 
-def _apart(root: np.ndarray, own: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-    """Pairs of one bucket with different roots, within the radius."""
-    i, j = close_pairs(fps, RADIUS, root)
-    a, b = own[i], own[j]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        if own:
+            rows = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.concatenate(own))], ["set", "s"])
 
 
-def _unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different roots within each bucket of the sorted rows (k, k2, root, set, fp)."""
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of each bucket (k, k2) of sorted rows (k, k2, root, ...) that has more than one root."""
     held: list[np.ndarray] = []
 
-    def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        k, k2, root, own, fp = cols
+    def whole(cols: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+        k, k2, root = cols[:3]
         edge = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]) | (k2[1:] != k2[:-1])) + 1, [len(k)]])
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if root[a] != root[b - 1]:  # sorted by root: more than one
-                yield _apart(root[a:b], own[a:b], fp[a:b].view(np.uint64))
+            if root[a] != root[b - 1]:  # sorted by root
+                yield [c[a:b] for c in cols[2:]]
 
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -163,9 +166,78 @@ def _unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = int(other[-1]) + 1 if len(other) else 0
         held = [c[cut:] for c in cols]
         if cut:
-            yield from pairs([c[:cut] for c in cols])
+            yield from whole([c[:cut] for c in cols])
     if held and len(held[0]):
-        yield from pairs(held)
+        yield from whole(held)
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each class with a close one of another root in its bucket (root, set, fp): the closest such one."""
+    for root, own, fp in _buckets(batches):
+        fp = fp.view(np.uint64)
+        i, j = close_pairs(fp, RADIUS, lambda i, j, root=root: root[i] != root[j])
+        if len(i):
+            bits = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)
+            one, two, bits = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([bits, bits])
+            order = np.lexsort((two, bits, one))
+            first = order[np.concatenate([[True], one[order][1:] != one[order][:-1]])]
+            a, b = own[one[first]], own[two[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _possible(threshold: float):
+    """Pairs of different roots in a bucket (root, set, fp, n, c) that can have the similarity: c of a class's n shingles
+    are in another class at all, so two classes share no more than the lesser c."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for root, own, fp, n, c in _buckets(batches):
+
+            def keep(i: np.ndarray, j: np.ndarray, root=root, n=n, c=c) -> np.ndarray:
+                most = np.minimum(c[i], c[j])
+                return (root[i] != root[j]) & (most >= threshold * (n[i] + n[j] - most))
+
+            i, j = close_pairs(fp.view(np.uint64), RADIUS, keep)
+            if len(i):
+                a, b = own[i], own[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
+def _rooted(dealt: DataFrame, roots: DataFrame, *more: DataFrame) -> DataFrame:
+    """(k, k2, root, set, fp, ...): buckets with what their classes are connected to so far, sorted."""
+    rows = dealt.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    for m in more:
+        rows = rows.join(m, "set")
+    added = [c for m in more for c in m.columns if c != "set"]
+    return rows.select("k", "k2", "root", "set", "fp", *added).repartition("k", "k2").sortWithinPartitions("k", "k2", "root", "set")
+
+
+def linked(dealt: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root) of the classes that are connected over pairs of at least that similarity within buckets.
+
+    Three steps, each with verified pairs in proportion to the buckets' rows but for the last: every class with the two
+    ends of its bucket; every class with the closest one that it is not connected with; and all pairs that are still apart
+    and cannot be ruled out by what they have in common with any class."""
+    # each side of a join is a table of its own, so that Spark can split the partition of a bucket that most share
+    ends = written(dealt.groupBy("k", "k2").agg(F.min("set").alias("lo"), F.max("set").alias("hi")), "ends")
+    hubs = dealt.join(ends, ["k", "k2"]).select("set", F.explode(F.array("lo", "hi")).alias("hub")).where("set != hub")
+    links = verified(sets, hubs.select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")), threshold)
+    roots = components(links)
+    near = written(_rooted(dealt, roots).mapInArrow(_nearest, "a long, b long").distinct(), "nearest")
+    if near.isEmpty():
+        return roots
+    more = verified(sets, near, threshold)
+    links = written(links.union(more), "links")
+    roots = components(links)
+    open_ = sets.join(near.select(F.col("a").alias("set")).union(near.select("b")).distinct(), "set", "left_semi")
+    shingles = open_.mapInArrow(_exploded, "set long, s long").groupBy("s").agg(F.min("set").alias("set"), F.count(F.lit(1)).alias("n"))
+    alone = shingles.where("n = 1").groupBy("set").agg(F.count(F.lit(1)).alias("u"))
+    size = (F.octet_length("shingles") / 8).cast("long")
+    room = open_.join(alone, "set", "left").select("set", size.alias("n"), (size - F.coalesce("u", F.lit(0))).alias("c"))
+    pairs = _rooted(dealt, roots, written(room, "room")).mapInArrow(_possible(threshold), "a long, b long")
+    last = verified(sets, pairs, threshold)
+    return components(links.union(last)) if not last.isEmpty() else roots
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, deep: int = DEEP) -> tuple[DataFrame, DataFrame]:
@@ -179,17 +251,8 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, deep: int = DEEP) -> t
     classes = written(prints.groupBy("set").agg(F.min(place).alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
     dealt = buckets(classes.select("set", "fp", "keys"), deep)
     sets = shingles_of(docs, classes, written(dealt.select("set").distinct(), "wanted"))
-    # each side of a join is a table of its own, so that Spark can split the partition of a bucket or group that most share
-    ends = written(dealt.groupBy("k", "k2").agg(F.min("set").alias("lo"), F.max("set").alias("hi")), "ends")
-    hubs = dealt.join(ends, ["k", "k2"]).select("set", F.explode(F.array("lo", "hi")).alias("hub")).where("set != hub")
-    links = verified(sets, hubs.select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")), threshold)
-    roots = components(links)
-    rooted = dealt.join(roots.withColumnRenamed("node", "set"), "set", "left").select("k", "k2", F.coalesce("root", "set").alias("root"), "set", "fp")
-    apart = rooted.repartition("k", "k2").sortWithinPartitions("k", "k2", "root", "set").mapInArrow(_unconnected, "a long, b long")
-    more = verified(sets, apart, threshold)
-    if not more.isEmpty():
-        roots = components(links.union(more))
-    dropped(dealt, sets, ends, links, more)
+    roots = linked(dealt, sets, threshold)
+    dropped(dealt, sets)
     rooted = written(classes.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root")), "rooted")
     least = written(rooted.groupBy("root").agg(F.min("least").alias("first")), "least")
     named = written(rooted.join(least, "root").select("set", F.col("first.doc_id").alias("component_id"), "first"), "named")
