@@ -8,8 +8,9 @@ the other bands (a pair then has to agree in two bands: missed with 6e-5). Every
 against the smallest and the greatest class there. Of those that are not connected afterwards, SimHash fingerprints over
 the same shingles are compared in bit planes, and pairs that differ in more than ``RADIUS`` bits are left (at 0.8 the
 distance is 9.7 with a deviation of 2.9: missed with 1e-6): each class is verified against the closest one, and then all
-pairs that are still apart, but for those that cannot have the similarity, as too many shingles of either are in no other
-class. So a cluster costs pairs in proportion to its members, not to their square, and texts that only share a bucket or a
+pairs that are still apart, but for those that cannot have the similarity. Which these are is exact: shingles that no other
+class has are left out, the others are counted in ``PARTS`` parts by their hash, and the sum of the lesser counts is more
+than two classes can share. So a cluster costs pairs in proportion to its members, not to their square, and texts that only share a bucket or a
 passage cost next to none.
 
 Defined results: words are those of SimHash (white space, ASCII case); a text of under five words has one shingle, all
@@ -33,7 +34,7 @@ from folioscope.llm.bitslice import close_pairs, majority
 from folioscope.llm.graph import components
 from folioscope.llm.store import dropped, every, free, keys_of, written
 
-SHINGLE, THRESHOLD, BANDS, ROWS, DEEP, RADIUS = 5, 0.8, 24, 4, 1024, 24
+SHINGLE, THRESHOLD, BANDS, ROWS, DEEP, RADIUS, PARTS = 5, 0.8, 24, 4, 1024, 24, 64
 _XOR = tb.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 _ODD = tb.mix(np.arange(5001, 5001 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
 
@@ -145,6 +146,24 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.concatenate(own))], ["set", "s"])
 
 
+def _room(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From a class's shingles and those of them that no other class has: how many there are, and of the others how many
+    fall into each of PARTS parts by their hash."""
+    for batch in batches:
+        n, parts = [], []
+        for own, alone in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            own = np.frombuffer(own.as_buffer(), np.int64)
+            n.append(len(own))
+            count = np.bincount(own & (PARTS - 1), minlength=PARTS) - np.bincount(np.array(alone or [], np.int64) & (PARTS - 1), minlength=PARTS)
+            parts.append(count.astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(parts, pa.binary())], ["set", "n", "parts"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of packed counts as rows."""
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.uint32).reshape(-1, PARTS)
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The columns of each bucket (k, k2) of sorted rows (k, k2, root, ...) that has more than one root."""
     held: list[np.ndarray] = []
@@ -157,11 +176,11 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
                 yield [c[a:b] for c in cols[2:]]
 
     for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not batch.num_rows:
+            continue
+        cols = [_matrix(c) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if held:
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        if not len(cols[0]):
-            continue
         other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
         cut = int(other[-1]) + 1 if len(other) else 0
         held = [c[cut:] for c in cols]
@@ -185,16 +204,20 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _possible(threshold: float):
-    """Pairs of different roots in a bucket (root, set, fp, n, c) that can have the similarity: c of a class's n shingles
-    are in another class at all, so two classes share no more than the lesser c."""
+def _possible(threshold: float, step: int = 1 << 15):
+    """Pairs of different roots in a bucket (root, set, fp, n, parts) that can have the similarity: two classes share no more
+    than the lesser of their counts in each part, summed up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for root, own, fp, n, c in _buckets(batches):
+        for root, own, fp, n, parts in _buckets(batches):
 
-            def keep(i: np.ndarray, j: np.ndarray, root=root, n=n, c=c) -> np.ndarray:
-                most = np.minimum(c[i], c[j])
-                return (root[i] != root[j]) & (most >= threshold * (n[i] + n[j] - most))
+            def keep(i: np.ndarray, j: np.ndarray, root=root, n=n, parts=parts) -> np.ndarray:
+                out = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
+                for at in range(0, len(i), step):
+                    k = at + np.flatnonzero(out[at : at + step])
+                    most = np.minimum(parts[i[k]], parts[j[k]]).sum(axis=1, dtype=np.int64)
+                    out[k] = most >= threshold * (n[i[k]] + n[j[k]] - most)
+                return out
 
             i, j = close_pairs(fp.view(np.uint64), RADIUS, keep)
             if len(i):
@@ -218,7 +241,7 @@ def linked(dealt: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> D
 
     Three steps, each with verified pairs in proportion to the buckets' rows but for the last: every class with the two
     ends of its bucket; every class with the closest one that it is not connected with; and all pairs that are still apart
-    and cannot be ruled out by what they have in common with any class."""
+    and cannot be ruled out by counts of their shared shingles."""
     # each side of a join is a table of its own, so that Spark can split the partition of a bucket that most share
     ends = written(dealt.groupBy("k", "k2").agg(F.min("set").alias("lo"), F.max("set").alias("hi")), "ends")
     hubs = dealt.join(ends, ["k", "k2"]).select("set", F.explode(F.array("lo", "hi")).alias("hub")).where("set != hub")
@@ -232,9 +255,8 @@ def linked(dealt: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> D
     roots = components(links)
     open_ = sets.join(near.select(F.col("a").alias("set")).union(near.select("b")).distinct(), "set", "left_semi")
     shingles = open_.mapInArrow(_exploded, "set long, s long").groupBy("s").agg(F.min("set").alias("set"), F.count(F.lit(1)).alias("n"))
-    alone = shingles.where("n = 1").groupBy("set").agg(F.count(F.lit(1)).alias("u"))
-    size = (F.octet_length("shingles") / 8).cast("long")
-    room = open_.join(alone, "set", "left").select("set", size.alias("n"), (size - F.coalesce("u", F.lit(0))).alias("c"))
+    alone = shingles.where("n = 1").groupBy("set").agg(F.collect_list("s").alias("alone"))  # at most a text's own
+    room = open_.join(alone, "set", "left").select("set", "shingles", "alone").mapInArrow(_room, "set long, n long, parts binary")
     pairs = _rooted(dealt, roots, written(room, "room")).mapInArrow(_possible(threshold), "a long, b long")
     last = verified(sets, pairs, threshold)
     return components(links.union(last)) if not last.isEmpty() else roots
