@@ -73,8 +73,8 @@ def mentions(ctx: Context, terms: DataFrame) -> DataFrame:
     """(doc_id, term, sent, sent_sec, at, stop, sec, surface): every match; offsets in the document's text, sec by offset.
 
     Sentences meet terms by document; a plain substring test on the last word's stem comes before any pattern."""
-    known = terms.select("doc_id", "term", tm.pattern(F.col("term")).alias("pattern"), stem(F.col("term")).alias("stem")).where("stem != ''")
-    rows = ctx.sentences.withColumn("low", F.lower("text")).join(known, "doc_id").where(F.contains("low", F.col("stem")))
+    known = terms.select("doc_id", "term", tm.pattern(F.col("term")).alias("pattern"), stem(F.col("term")).alias("stem"))
+    rows = ctx.sentences.withColumn("low", F.lower("text")).join(known, "doc_id").where(F.contains("low", F.col("stem")))  # a blank stem holds everywhere
     rows = rows.sortWithinPartitions("doc_id", "term")  # patterns compile once for each run of a term
     rows = rows.select("doc_id", "term", "sent", F.col("sec").alias("sent_sec"), F.col("start").alias("from"), F.explode(tm.spans(F.col("text"), F.col("pattern"))).alias("m"))
     starts = ctx.sections.groupBy("doc_id").agg(F.sort_array(F.collect_list("start")).alias("starts"))
@@ -87,7 +87,7 @@ def surface_forms(found: DataFrame) -> DataFrame:
     """(doc_id, term, form): the commonest spelling, the first seen among equals; lower case but for inner capitals."""
     forms = found.withColumn("form", F.regexp_replace("surface", r"(?U)\s+", " ")).groupBy("doc_id", "term", "form").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     best = forms.groupBy("doc_id", "term").agg(F.max_by("form", F.struct("n", -F.col("first"))).alias("form"))
-    return best.withColumn("form", F.when(F.substring("form", 2, 1000).rlike(r"\p{Lu}"), F.col("form")).otherwise(F.lower("form")))
+    return best.withColumn("form", F.when(F.expr("substring(form, 2)").rlike(r"\p{Lu}"), F.col("form")).otherwise(F.lower("form")))
 
 
 def drop_fragments(terms: DataFrame, found: DataFrame) -> DataFrame:
@@ -141,24 +141,23 @@ def _ranks(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, damping: float =
 
 
 def pagerank(terms: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, term, centrality): rank over the largest rank. A row holds a document's graph, of at most FEATURES nodes."""
+    """(doc_id, term, centrality): rank over the largest rank. A row holds a document's graph, of at most FEATURES nodes, as
+    arrays of numbers; ranks come back as an array and meet their terms again by position."""
     nodes = terms.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "term"))).alias("nodes"))
-    links = edges.groupBy("doc_id").agg(F.collect_list(F.struct("source", "target", "weight")).alias("links"))
+    nodes = nodes.withColumn("names", F.transform("nodes", lambda x: x["term"]))
+    links = edges.groupBy("doc_id").agg(*(F.collect_list(k).alias(k) for k in ("source", "target", "weight")))  # one order for all three
+    rows = nodes.join(links, "doc_id", "left")
+    place = lambda k: F.transform(F.coalesce(k, F.array().cast("array<string>")), lambda t: F.array_position("names", t).cast("int") - 1)
+    rows = rows.select("doc_id", "names", F.size("names").alias("n"), place("source").alias("i"), place("target").alias("j"), F.coalesce("weight", F.array().cast("array<double>")).alias("w"))
     kind = dict(terms.dtypes)["doc_id"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for doc, own, pairs in zip(frame["doc_id"], frame["nodes"], frame["links"], strict=True):
-                names = [x["term"] for x in own]
-                at = {t: k for k, t in enumerate(names)}
-                pairs = [] if pairs is None else list(pairs)
-                i, j = (np.array([at[p[k]] for p in pairs], int) for k in ("source", "target"))
-                rank = _ranks(len(names), i, j, np.array([p["weight"] for p in pairs]))
-                out += zip([doc] * len(names), names, (rank / rank.max()).tolist(), strict=True)
-            yield pd.DataFrame(out, columns=["doc_id", "term", "centrality"])
+            ranks = [_ranks(n, i, j, w) for n, i, j, w in zip(frame["n"], frame["i"], frame["j"], frame["w"], strict=True)]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "names": frame["names"], "rank": [r / r.max() for r in ranks]})
 
-    return nodes.join(links, "doc_id", "left").mapInPandas(run, f"doc_id {kind}, term string, centrality double")
+    out = rows.mapInPandas(run, f"doc_id {kind}, names array<string>, rank array<double>")
+    return out.select("doc_id", F.explode(F.arrays_zip("names", "rank")).alias("x")).select("doc_id", F.col("x.names").alias("term"), F.col("x.rank").alias("centrality"))
 
 
 def exam_signals(ctx: Context, terms: DataFrame, found: DataFrame) -> DataFrame:
@@ -174,7 +173,8 @@ def exam_signals(ctx: Context, terms: DataFrame, found: DataFrame) -> DataFrame:
 
 def measure(ctx: Context, terms: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Signals of terms (doc_id, term, ord), and the co-occurrence edges of their graph."""
-    found = found.join(terms.select("doc_id", "term", "ord"), ["doc_id", "term"])
+    terms = stored(terms, "kept")
+    found = stored(found.join(terms.select("doc_id", "term", "ord"), ["doc_id", "term"]), "found")  # the edges, counts and signals all read it
     sizes = ctx.sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     words = ctx.sections.select("doc_id", "sec", F.greatest(F.lit(1), tx.words(F.col("text"))).alias("words"))
     counts = found.groupBy("doc_id", "sec", "term").agg(F.count(F.lit(1)).alias("c")).join(words, ["doc_id", "sec"]).join(sizes, "doc_id")
@@ -183,7 +183,7 @@ def measure(ctx: Context, terms: DataFrame, found: DataFrame) -> tuple[DataFrame
     counts = counts.withColumn("x", x).withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id", "sec"))))
     base = counts.groupBy("doc_id", "term").agg((F.sum("x") / F.first("n")).alias("frequency"), (F.first("df") / F.first("n")).alias("spread"))
     base = base.withColumn("frequency", F.col("frequency") / F.max("frequency").over(Window.partitionBy("doc_id")))
-    edges = cooccurrence(found, sizes)
+    edges = stored(cooccurrence(found, sizes), "pairs")
     rows = terms.select("doc_id", "term", "ord").join(base, ["doc_id", "term"]).join(pagerank(terms, edges), ["doc_id", "term"])
     if ctx.headings is not None:
         rows = rows.join(heading_weight(terms, ctx.headings), ["doc_id", "term"], "left").withColumn("heading", F.coalesce("heading", F.lit(0.0)) / 3)
@@ -208,8 +208,7 @@ def rank(ctx: Context, terms: DataFrame, found: DataFrame, endorsed: DataFrame |
     """Topics (doc_id, pos from 1, term, score, tier, ...) and the edges between them that are shown.
 
     endorsed: (doc_id, key) of terms whose score counts twice."""
-    kept = drop_fragments(terms, found)
-    rows, edges = measure(ctx, kept, found)
+    rows, edges = measure(ctx, drop_fragments(terms, found), found)
     rows = rows.withColumn("key", tm.term_key(F.col("term")))
     if endorsed is not None:
         rows = rows.join(endorsed.select("doc_id", "key", F.lit(True).alias("llm_endorsed")).distinct(), ["doc_id", "key"], "left").withColumn("llm_endorsed", F.coalesce("llm_endorsed", F.lit(False)))
@@ -226,9 +225,10 @@ def rank(ctx: Context, terms: DataFrame, found: DataFrame, endorsed: DataFrame |
         rows = rows.join(named, "doc_id", "left").withColumn("is_heading", F.coalesce(F.arrays_overlap(F.split(F.lower("term"), " "), "named"), F.lit(False)))
     else:
         rows = rows.withColumn("is_heading", F.lit(False))
-    topics = rows.select(
-        "doc_id", "pos", "term", "score", "tier", "is_heading", "llm_endorsed", *(F.round(k, 3).alias(k) for k in (*WEIGHTS, "exam_boost")), "exam_signals"
+    topics = rows.select(  # rounded in two steps: sums in another order differ in the last bits, also at a half
+        "doc_id", "pos", "term", "score", "tier", "is_heading", "llm_endorsed", *(F.round(F.round(k, 9), 3).alias(k) for k in (*WEIGHTS, "exam_boost")), "exam_signals"
     )
+    topics = stored(topics, "topics")
     names = topics.select("doc_id", "term")
     shown = edges.where(F.col("weight") >= SHOWN)
     for side in ("source", "target"):
@@ -251,4 +251,4 @@ class Analysis:
         self.candidates = stored(nominate(ctx.sections, branding(ctx.pages)), "candidates")
         self.mentions = stored(mentions(ctx, self.candidates), "mentions")
         topics, edges = rank(ctx, self.candidates, self.mentions)
-        self.topics, self.edges = stored(topics, "topics"), stored(edges, "edges")
+        self.topics, self.edges = topics, stored(edges, "edges")

@@ -222,20 +222,34 @@ def relation_evidence(ctx: Context, pairs: DataFrame, found: DataFrame, edges: D
     return out.select(*key, weight, zero("shared_sentences"), zero("shared_sections"), "total_sections", "sentences", pairs_shown, "prerequisite")
 
 
-def reachability(edges: DataFrame, depth: int = 25) -> DataFrame:
-    """(doc_id, source, target, hops): all pairs joined by a way, with its longest length, of acyclic graphs up to a depth.
-
-    Graphs are per document and small; each round joins the frontier with the edges, and stops when it is empty."""
-    frontier = edges.select("doc_id", "source", "target", F.lit(1).alias("hops"))
-    out, links = frontier, edges.select("doc_id", F.col("source").alias("target"), F.col("target").alias("next"))
-    for k in range(2, depth + 1):
-        frontier = frontier.join(links, ["doc_id", "target"]).select("doc_id", "source", F.col("next").alias("target"), F.lit(k).alias("hops")).distinct().persist()
-        if frontier.isEmpty():
-            break
-        out = out.union(frontier)
-    return out.groupBy("doc_id", "source", "target").agg(F.max("hops").alias("hops"))
+def reachability(edges: DataFrame) -> DataFrame:
+    """(doc_id, source, target, hops): all pairs joined by a way, with the length of the longest one, of acyclic graphs.
+
+    Each round joins all ways known so far with themselves, so ways of any length take the logarithm of it in rounds, and
+    writes the longest of each pair. An acyclic graph is done when nothing grows; a pair of a node with itself is a cycle,
+    which is an error."""
+    key = ["doc_id", "source", "target"]
+    ways = stored(edges.select(*key).distinct().withColumn("hops", F.lit(1)), "ways")
+    done = None
+    while True:
+        ring = ways.where(F.col("source") == F.col("target")).limit(1).collect()
+        if ring:
+            raise ValueError(f"the graph of {ring[0]['doc_id']!r} has a cycle through {ring[0]['source']!r}")
+        now = tuple(ways.agg(F.count(F.lit(1)), F.sum("hops")).first())
+        if now == done:
+            return ways
+        done = now
+        on = ways.select("doc_id", F.col("source").alias("target"), F.col("target").alias("next"), F.col("hops").alias("more"))
+        longer = ways.join(on, ["doc_id", "target"]).select("doc_id", "source", F.col("next").alias("target"), (F.col("hops") + F.col("more")).alias("hops"))
+        ways = stored(ways.union(longer).groupBy(*key).agg(F.max("hops").alias("hops")), "ways")
 
 
 def transitive_reduction(edges: DataFrame, reach: DataFrame) -> DataFrame:
     """Edges that no longer way replaces: those whose longest way is the edge itself."""
     return edges.join(reach.where("hops = 1").select("doc_id", "source", "target"), ["doc_id", "source", "target"], "left_semi")
+
+
+def levels(names: DataFrame, reach: DataFrame) -> DataFrame:
+    """(doc_id, term, level): the length of the longest way to each of the names (doc_id, term), 0 where none leads."""
+    longest = reach.groupBy("doc_id", F.col("target").alias("term")).agg(F.max("hops").alias("level"))
+    return names.join(longest, ["doc_id", "term"], "left").select("doc_id", "term", F.coalesce("level", F.lit(0)).alias("level"))

@@ -454,8 +454,22 @@ def transitive_reduction(spark, sf):
 def path_levels(spark, sf):
     edges = _dag(spark)
     names = edges.select("doc_id", F.col("source").alias("term")).union(edges.select("doc_id", "target")).distinct()
-    longest = ps.reachability(edges).groupBy("doc_id", F.col("target").alias("term")).agg(F.max("hops").alias("level"))
-    return names.join(longest, ["doc_id", "term"], "left").select("doc_id", "term", F.coalesce("level", F.lit(0)).alias("level"))
+    return ps.levels(names, ps.reachability(edges))
+
+
+def _reach(spark, sf):
+    """What the acyclic prerequisites of all documents' concepts lead to."""
+    return _once("reach", spark, sf, lambda: ps.reachability(st.stored(_path(spark, sf)[3].select("doc_id", "source", "target"), "kept")))
+
+
+@query
+def concept_reachability(spark, sf):
+    return _reach(spark, sf)
+
+
+@query
+def concept_levels(spark, sf):
+    return ps.levels(_path(spark, sf)[0].topics.select("doc_id", "term"), _reach(spark, sf))
 
 
 # Retrieval.

@@ -108,7 +108,7 @@ state AS (SELECT user_id, concept, s.mastery AS mastery, s.attempts AS attempts,
 COURSE = FOLD + f""", course AS ({values('term VARCHAR, tier VARCHAR, score DOUBLE, pos INT', fx.COURSE)}), need AS ({values('source VARCHAR, target VARCHAR', fx.COURSE_EDGES)}),
 rows_ AS (SELECT u.user_id, c.*, coalesce(s.status, 'unseen') AS status, coalesce(s.attempts, 0) AS attempts, coalesce(s.mastery, 0.0) AS mastery, s.due FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN course c LEFT JOIN state s ON s.user_id = u.user_id AND s.concept = c.term)
 """
-REACH = f"""WITH RECURSIVE e AS ({values('source VARCHAR, target VARCHAR', fx.DAG)}), r AS (SELECT source, target, 1 AS hops FROM e UNION ALL SELECT r.source, e.target, r.hops + 1 FROM r JOIN e ON e.source = r.target WHERE r.hops < 25),
+REACH = f"""WITH RECURSIVE e AS ({values('source VARCHAR, target VARCHAR', fx.DAG)}), r AS (SELECT source, target, 1 AS hops FROM e UNION ALL SELECT r.source, e.target, r.hops + 1 FROM r JOIN e ON e.source = r.target),
 reach AS (SELECT 'd' AS doc_id, source, target, CAST(max(hops) AS INT) AS hops FROM r GROUP BY ALL)
 """
 REPLY = {
@@ -152,6 +152,148 @@ f AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score, min(l * 1000 + r
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) AS pos FROM f)
 SELECT p.query_id, p.doc_id, round(p.score, 9) AS score, CAST(pos AS INT) AS pos, CAST(de.rank AS INT) AS dense_rank, CAST(kw.rank AS INT) AS keyword_rank FROM p LEFT JOIN de USING (query_id, doc_id) LEFT JOIN kw USING (query_id, doc_id) WHERE pos <= 5"""
 
+# Text documents as the engine sees them: cleaned, in sections and sentences, with their candidate terms and mentions.
+
+IS_LOWER, IS_UPPER = "'^\\p{Ll}'", "'^\\p{Lu}'"
+LIST_ITEM = r"'^(?:[•\-–*▪●◦]|\d+[.)])\s'"
+
+
+def kept_lines(ls: str) -> str:
+    """The lines of a list that carry prose: no metadata, nor what ends in a number on a contents page."""
+    full = f"list_filter({ls}, lambda line: {strip('line')} <> '')"
+    contents = f"len(list_filter({full}, lambda line: {NUMBERED})) >= greatest(3.0, 0.3 * len({full}))"
+    return f"list_filter({ls}, lambda line: NOT ({IS_METADATA} OR (({contents}) AND {strip('line')} <> '' AND {NUMBERED})))"
+
+
+def reflowed(lines: str) -> str:
+    """The segments of a list of lines, joined by line feeds."""
+    one = "{'done': CAST([] AS VARCHAR[]), 'buf': CAST(%s AS VARCHAR)}"
+    ends = (
+        f"CASE WHEN right(s.buf, 1) IN ('.', '!', '?', ':', ';') THEN NOT regexp_matches(e.buf, {IS_LOWER}) ELSE regexp_matches(e.buf, {LIST_ITEM}) "
+        f"OR (length(s.buf) < 60 AND {words('s.buf')} <= 8 AND right(s.buf, 1) NOT IN (',', '(') AND regexp_matches(e.buf, {IS_UPPER})) END"
+    )
+    fold = (
+        f"list_reduce(list_prepend({one % repr('')}, list_transform({lines}, lambda x: {one % strip('x')})), lambda s, e: "
+        "CASE WHEN e.buf = '' AND s.buf <> '' THEN {'done': list_append(s.done, s.buf), 'buf': ''} WHEN e.buf = '' THEN s "
+        "WHEN s.buf = '' THEN {'done': s.done, 'buf': e.buf} "
+        f"WHEN right(s.buf, 1) = '-' AND regexp_matches(e.buf, {IS_LOWER}) THEN {{'done': s.done, 'buf': left(s.buf, length(s.buf) - 1) || e.buf}} "
+        f"WHEN {ends} THEN {{'done': list_append(s.done, s.buf), 'buf': e.buf}} ELSE {{'done': s.done, 'buf': s.buf || ' ' || e.buf}} END)"
+    )
+    return f"array_to_string(list_filter(list_append({fold}.done, {fold}.buf), lambda z: z <> ''), {NL})"
+
+
+STRIPPED = f"""(SELECT doc_id, page, coalesce(list(line ORDER BY i) FILTER (WHERE r.norm IS NULL), []) AS ls FROM (SELECT *, {NORM} AS own FROM {LINES}) l
+LEFT JOIN (SELECT doc_id AS d, norm FROM {REPEATED}) r ON r.d = l.doc_id AND r.norm = l.own GROUP BY doc_id, page)"""
+PAGES = f"(SELECT doc_id, page, {reflowed('ls')} AS text FROM (SELECT doc_id, page, {kept_lines('ls')} AS ls FROM {STRIPPED}))"
+TEXTS = f"(SELECT doc_id, {reflowed('ls')} AS text FROM (SELECT doc_id, {kept_lines('ls')} AS ls FROM (SELECT doc_id, string_split(coalesce(text, ''), {NL}) AS ls FROM documents)))"
+#: clean: texts; secs: their sections; sents: their sentences with offsets.
+STUDY = f"""WITH RECURSIVE clean AS MATERIALIZED (SELECT * FROM {{texts}}), w AS (
+  SELECT doc_id, text, CAST(0 AS INT) AS sec, CAST(0 AS INT) AS start FROM clean
+  UNION ALL
+  SELECT doc_id, text, CAST(sec + 1 AS INT), CAST(CASE WHEN greatest(a, b) > 0 THEN start + 1500 + greatest(a, b) ELSE start + 1500 END AS INT)
+  FROM (SELECT *, strpos(substring(text, start + 1501, 300), '. ') AS a, strpos(substring(text, start + 1501, 300), chr(10)) AS b FROM w WHERE start + 1500 < length(text))
+), s AS (SELECT doc_id, sec, start, CAST(coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY sec), length(text)) AS INT) AS stop, text FROM w),
+secs AS MATERIALIZED (SELECT doc_id, sec, start, stop, substring(text, start + 1, stop - start) AS part FROM s),
+seg AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, {NL}) AS ls FROM clean))),
+seg2 AS (SELECT doc_id, i, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base,
+  string_split(regexp_replace(line, '([.!?])(\\s+["''“‘(\\[]?[A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM seg),
+piece AS (SELECT doc_id, i, k, ps[k] AS raw, base + coalesce(list_sum(list_transform(ps[1:k - 1], lambda z: length(z))), 0) AS base FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS k FROM seg2)),
+sents0 AS (SELECT doc_id, {strip('raw')} AS text, CAST(base + length(raw) - length(regexp_replace(raw, '^\\s+', '')) AS INT) AS start, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS sent FROM piece WHERE {strip('raw')} <> ''),
+sents AS MATERIALIZED (SELECT z.doc_id, z.sent, z.text, z.start, secs.sec, {words('z.text')} AS words FROM sents0 z ASOF JOIN secs ON z.doc_id = secs.doc_id AND z.start >= secs.start)
+"""
+TERM_WORDS = "string_split(term, ' ')"
+LAST = sing("ws[-1]")
+BODY = (
+    f"CASE WHEN len(ws) > 1 THEN array_to_string(ws[1:len(ws) - 1], '(?:[^\\S\\n]|-)+') || '(?:[^\\S\\n]|-)+' ELSE '' END || "
+    "CASE WHEN last LIKE '%y' AND length(last) > 3 AND NOT regexp_matches(last, '[aeou]y$') THEN left(last, length(last) - 1) || '(?:y|ies)' ELSE last || '(?:s|es)?' END"
+)
+#: terms: candidate terms with patterns; found: their mentions (sent, sent_sec, at, stop, sec), by offsets.
+FOUND = STUDY.format(texts=TEXTS) + ", " + TFIDF[len(SECTIONS) :].lstrip(", ").rpartition("SELECT doc_id, term, round")[0] + f""", cand AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(sum(y) / max(n), 9) DESC, term) AS ord FROM y GROUP BY doc_id, term),
+terms AS MATERIALIZED (SELECT doc_id, term, ord, ws, {BODY} AS body, regexp_replace(last, 'y$', '') AS stem FROM (SELECT *, {LAST} AS last FROM (SELECT *, {TERM_WORDS} AS ws FROM cand))),
+pair AS MATERIALIZED (SELECT t.doc_id, t.term, z.sent, z.sec AS sent_sec, z.start, replace(z.text, '_', '.') AS text, '(?i)\\b' || t.body || '\\b' AS p FROM sents z JOIN terms t ON t.doc_id = z.doc_id AND contains(lower(z.text), t.stem)),
+hit AS (SELECT *, regexp_extract_all(text, p) AS hs, string_split_regex(text, p) AS gs FROM pair WHERE regexp_matches(text, p)),
+one AS (SELECT doc_id, term, sent, sent_sec, hs[k] AS surface, start + list_sum(list_transform(gs[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(hs[1:k - 1], lambda h: length(h))), 0) AS at FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS k FROM hit)),
+found AS MATERIALIZED (SELECT one.doc_id, one.term, one.sent, one.sent_sec, one.at, one.at + length(surface) AS stop, secs.sec FROM one ASOF JOIN secs ON one.doc_id = secs.doc_id AND one.at >= secs.start)
+"""
+VERBS = r"(?:(?:is|are|was|were)\s+(?:an?|the|one of|any|when|how|what|called|known as|defined as)|refers? to|means?|denotes?|describes?|represents?|can be (?:defined|described) as)"
+NAMED = r"(?:defined as|known as|called|termed|referred to as)"
+B_ = "'\\b' || body || '\\b'"
+DEFINITION = (
+    f"'(?i)^[^\\p{{L}}\\p{{N}}_]*(?:[^,.;]{{0,40}},\\s*)?(?:an?\\s+|the\\s+)?' || {B_} || '\\s*(?:\\([^)]*\\)\\s*)?,?\\s+{VERBS}\\b|{NAMED}\\s+(?:an?\\s+|the\\s+)?[\"''“]?' || {B_} || "
+    f"'|^[^\\p{{L}}\\p{{N}}_]*' || {B_} || '\\s*[:–—-]\\s+\\S'"
+)
+#: heard: the sentences of each term, and whether they define it.
+HEARD = FOUND + f""", heard AS MATERIALIZED (SELECT doc_id, term, sent, words, CASE WHEN regexp_matches(text, '(?i){VERBS}\\b|{NAMED}|[:–—-]\\s+\\S') THEN regexp_matches(replace(text, '_', '.'), {DEFINITION}) ELSE FALSE END AS defines
+FROM (SELECT DISTINCT doc_id, term, sent FROM found) JOIN sents USING (doc_id, sent) JOIN terms USING (doc_id, term))
+"""
+NESTED = """, nested AS (SELECT a.doc_id, a.term, b.term AS longer FROM terms a JOIN terms b ON a.doc_id = b.doc_id AND len(b.ws) > len(a.ws) AND contains(b.term, a.stem) AND regexp_matches(b.term, '(?i)\\b' || a.body || '\\b')),
+around AS (SELECT DISTINCT nested.doc_id, nested.term, f.at, f.stop FROM nested JOIN found f ON f.doc_id = nested.doc_id AND f.term = nested.longer),
+last_ AS (SELECT f.doc_id, f.term, f.at, max({'at': a.at, 'stop': a.stop}) AS z FROM found f LEFT JOIN around a ON a.doc_id = f.doc_id AND a.term = f.term AND a.at <= f.at GROUP BY ALL),
+kept AS MATERIALIZED (SELECT doc_id, term FROM last_ GROUP BY ALL HAVING avg(CASE WHEN z.at IS NOT NULL AND last_.at < z.stop THEN 1.0 ELSE 0.0 END) < 0.7)
+"""
+TOLD = """, told AS (SELECT doc_id, term, bool_or(defines) AS definition FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, term ORDER BY sent) AS k FROM heard) WHERE k <= 300 GROUP BY ALL),
+flag AS (SELECT doc_id, sec, regexp_matches(lower(part), '\\b(?:figure|fig\\.|table|diagram)\\b') AS figure, regexp_matches(lower(part), '\\b(?:for example|for instance|example:|case study)\\b') AS example FROM secs),
+flags AS (SELECT doc_id, term, bool_or(figure) AS figure, bool_or(example) AS example FROM (SELECT DISTINCT doc_id, term, sec FROM found) JOIN flag USING (doc_id, sec) GROUP BY ALL)
+"""
+#: pr: PageRank by power iteration, a document's rows until it settles; topics: the twenty best concepts; edge: sections in common.
+TOPICS = HEARD + NESTED + TOLD + f""", own AS MATERIALIZED (SELECT f.doc_id, f.sec, f.term, t.ord, count(*) AS c FROM found f JOIN kept USING (doc_id, term) JOIN terms t USING (doc_id, term) GROUP BY ALL),
+size_ AS (SELECT doc_id, count(*) AS n FROM secs GROUP BY doc_id), wide AS (SELECT doc_id, sec, greatest(1, {words('part')}) AS words FROM secs),
+x1 AS (SELECT own.*, n, words, count(*) OVER (PARTITION BY doc_id, term) AS df FROM own JOIN size_ USING (doc_id) JOIN wide USING (doc_id, sec)),
+x2 AS (SELECT *, c / words * (ln((1 + n) / (1 + df)) + 1) AS x FROM x1), x3 AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id, sec)) AS z FROM x2),
+base_ AS (SELECT doc_id, term, ord, sum(z) / max(n) AS f, max(df) / max(n) AS spread FROM x3 GROUP BY ALL),
+edge AS MATERIALIZED (SELECT a.doc_id, a.term AS source, b.term AS target, count(*) / max(n) AS weight FROM own a JOIN own b ON a.doc_id = b.doc_id AND a.sec = b.sec AND a.ord < b.ord JOIN size_ ON size_.doc_id = a.doc_id GROUP BY ALL HAVING count(*) / max(n) >= 0.05),
+both_ AS (SELECT doc_id, source, target, weight FROM edge UNION ALL SELECT doc_id, target, source, weight FROM edge),
+link AS MATERIALIZED (SELECT doc_id, source, target, weight / sum(weight) OVER (PARTITION BY doc_id, source) AS w FROM both_),
+node AS MATERIALIZED (SELECT doc_id, term, count(*) OVER (PARTITION BY doc_id) AS n, NOT EXISTS (SELECT 1 FROM link WHERE link.doc_id = b.doc_id AND link.source = b.term) AS loose FROM base_ b),
+pr AS (SELECT doc_id, term, n, loose, 1.0::DOUBLE / n AS x, 0 AS turn, 1e9::DOUBLE AS err FROM node UNION ALL
+  SELECT doc_id, term, n, loose, new, turn + 1, sum(abs(new - x)) OVER (PARTITION BY doc_id) FROM (
+    SELECT p.*, 0.85 * (coalesce(g.s, 0) + sum(CASE WHEN loose THEN x ELSE 0 END) OVER (PARTITION BY p.doc_id) / n) + 0.15 / n AS new
+    FROM pr p LEFT JOIN (SELECT q.doc_id, link.target AS term, sum(q.x * link.w) AS s FROM pr q JOIN link ON link.doc_id = q.doc_id AND link.source = q.term GROUP BY ALL) g ON g.doc_id = p.doc_id AND g.term = p.term
+    WHERE p.err >= n * 1e-6 AND turn < 100)),
+rank_ AS (SELECT doc_id, term, x / max(x) OVER (PARTITION BY doc_id) AS centrality FROM (SELECT doc_id, term, CASE WHEN err < n * 1e-6 THEN x ELSE 1.0 / n END AS x FROM pr QUALIFY turn = max(turn) OVER (PARTITION BY doc_id))),
+sig AS (SELECT b.doc_id, b.term, b.ord, b.f / max(b.f) OVER (PARTITION BY doc_id) AS frequency, b.spread, r.centrality, CASE WHEN definition THEN 1.3 ELSE 1.0 END::DOUBLE * CASE WHEN figure THEN 1.2 ELSE 1.0 END::DOUBLE * CASE WHEN example THEN 1.15 ELSE 1.0 END::DOUBLE AS boost,
+  list_aggregate(list_transform(regexp_extract_all(lower(term), '[a-z0-9]+'), lambda q: {sing('q')}), 'string_agg', ' ') AS key
+  FROM base_ b JOIN rank_ r USING (doc_id, term) JOIN told USING (doc_id, term) JOIN flags USING (doc_id, term)),
+raw_ AS (SELECT *, round((0.30 * frequency + 0.25 * spread + 0.25 * centrality) * boost, 9) AS raw FROM sig),
+topics AS MATERIALIZED (SELECT *, round(raw / max(raw) OVER (PARTITION BY doc_id), 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY raw DESC, ord) AS pos FROM (SELECT * FROM raw_ WHERE raw > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY raw DESC, ord) = 1)) WHERE pos <= 20)
+"""
+
+
+def _probe_pieces(after: str) -> str:
+    """What ``after`` selects from (doc_id, t: text, hs: matches, gs: what lies between) of each probe term."""
+    rows = " UNION ALL ".join(
+        f"SELECT doc_id, {lit(t)} AS term, regexp_extract_all(t, {lit('(?i)' + chr(92) + 'b' + b + chr(92) + 'b')}) AS hs, string_split_regex(t, {lit('(?i)' + chr(92) + 'b' + b + chr(92) + 'b')}) AS gs FROM (SELECT doc_id, replace(coalesce(text, ''), '_', '.') AS t FROM documents)"
+        for t, b in PROBES.items()
+    )
+    return f"WITH hit AS (SELECT * FROM ({rows}) WHERE len(hs) > 0) {after}"
+
+
+STUDIES: dict[str, str] = {
+    "reflow_segments": f"SELECT doc_id, CAST(len(list_filter(string_split(t, {NL}), lambda z: z <> '')) AS INT) AS n_segments, CAST(length(t) AS INT) AS n_chars FROM (SELECT doc_id, {reflowed('ls')} AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), {NL}) AS ls FROM documents))",
+    "clean_pages": f"SELECT doc_id, page, CAST(length(text) AS INT) AS n_chars, md5(text) AS text_md5 FROM {PAGES}",
+    "document_context": STUDY.format(texts=f"(SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text FROM {PAGES} GROUP BY doc_id)")
+    + f""", pg AS (SELECT doc_id, page, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM {PAGES})
+SELECT doc_id, count(*) AS n_sentences, CAST(max(page) AS INT) AS last_page, CAST(max(sec) AS INT) AS last_sec, CAST(sum(start) AS BIGINT) AS sum_start FROM (SELECT z.doc_id, z.start, z.sec, pg.page FROM sents z ASOF JOIN pg ON z.doc_id = pg.doc_id AND z.start >= pg.start) GROUP BY doc_id""",
+    "term_offsets": _probe_pieces("SELECT doc_id, term, CAST(length(gs[1]) AS INT) AS first_at, CAST(list_sum(list_transform(gs, lambda g: length(g))) + list_sum(list_transform(hs, lambda h: length(h))) - length(gs[-1]) AS INT) AS last_stop FROM hit"),
+    "surface_form": _probe_pieces(
+        """, f AS (SELECT doc_id, term, k, regexp_replace(hs[k], '\\s+', ' ', 'g') AS form FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS k FROM hit)), c AS (SELECT doc_id, term, form, count(*) AS n, min(k) AS first FROM f GROUP BY ALL),
+b AS (SELECT doc_id, term, arg_max(form, {'n': n, 'first': -first}) AS form FROM c GROUP BY ALL) SELECT doc_id, term, CASE WHEN regexp_matches(substring(form, 2), '\\p{Lu}') THEN form ELSE lower(form) END AS form FROM b"""
+    ),
+    "section_term_frequency": FOUND + "SELECT doc_id, CAST(sec AS INT) AS sec, term, count(*) AS n FROM found GROUP BY ALL",
+    "term_spread": FOUND + "SELECT f.doc_id, f.term, count(DISTINCT sec) AS df, round(count(DISTINCT sec) / max(k.n), 6) AS spread FROM found f JOIN (SELECT doc_id, count(*) AS n FROM secs GROUP BY doc_id) k USING (doc_id) GROUP BY ALL",
+    "concept_stats": FOUND + "SELECT doc_id, term, count(*) AS mentions, count(DISTINCT sent) AS sentences, count(DISTINCT sent_sec) AS sections FROM found GROUP BY ALL",
+    "drop_fragments": FOUND + NESTED + "SELECT doc_id, term FROM kept",
+    "concept_introductions": HEARD + "SELECT doc_id, term, CAST(coalesce(min(sent) FILTER (WHERE defines), min(sent)) AS INT) AS intro FROM heard WHERE words >= 6 GROUP BY ALL",
+    "exam_boost": HEARD + TOLD + "SELECT definition, figure, example, count(*) AS n FROM told JOIN flags USING (doc_id, term) GROUP BY ALL",
+    "concept_topics": TOPICS
+    + """SELECT doc_id, CAST(pos AS INT) AS pos, term, score, CASE WHEN score > 0.55 THEN 'core' WHEN score > 0.30 THEN 'supporting' ELSE 'minor' END AS tier, FALSE AS is_heading, FALSE AS llm_endorsed,
+round(round(frequency, 9), 3) AS frequency, round(round(spread, 9), 3) AS spread, CAST(0 AS DOUBLE) AS heading, round(round(centrality, 9), 3) AS centrality, round(round(boost, 9), 3) AS exam_boost FROM topics""",
+    "concept_edges": TOPICS
+    + "SELECT doc_id, source, target, round(weight, 3) AS weight FROM edge WHERE weight >= 0.10 AND EXISTS (SELECT 1 FROM topics t WHERE t.doc_id = edge.doc_id AND t.term = edge.source) AND EXISTS (SELECT 1 FROM topics t WHERE t.doc_id = edge.doc_id AND t.term = edge.target)",
+    "study_priority": TOPICS
+    + """SELECT doc_id, coverage, 'Top 5 topics cover ~' || coverage || '% of this document' AS study_priority FROM (SELECT doc_id, CAST(CASE WHEN sum(score) > 0 THEN round_even(round(sum(CASE WHEN pos <= 5 THEN score ELSE 0 END) / sum(score) * 100, 9), 0) ELSE 0 END AS INT) AS coverage FROM topics GROUP BY doc_id)""",
+}
+
 ORACLES: dict[str, str] = {
     "content_hash_dedup": f"SELECT content_hash, doc_id, first_doc_id, doc_id <> first_doc_id AS reused FROM (SELECT {HASH} AS content_hash, doc_id, min(doc_id) OVER (PARTITION BY {HASH}) AS first_doc_id FROM documents)",
     "text_admission": f"SELECT doc_id, CASE WHEN octet_length(encode(coalesce(text, ''))) > 52428800 THEN 'too large' WHEN length({strip('coalesce(text, chr(32))')}) < 20 THEN 'too short' ELSE 'admitted' END AS verdict FROM documents",
@@ -230,4 +372,4 @@ CASE WHEN attempts > 0 AND is_due THEN 'due for review' END, CASE WHEN needs > 0
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {**ORACLES, **STUDIES}
