@@ -78,17 +78,16 @@ class Words:
         ids[inside] = number[place[inside]] + 1
         self.windows = ids
 
-    def packed(self) -> tuple[bytes, bytes, bytes, bytes]:
-        """A single text's words and windows as bytes: hashes, numbers of runs, runs, windows."""
-        return self.keys.tobytes(), self.n.astype(np.int32).tobytes(), self.tri.astype(np.uint16).tobytes(), self.windows.tobytes()
+    def packed(self) -> tuple[bytes, bytes]:
+        """A single text's words, by their hashes, and its windows of them, as bytes."""
+        return self.keys.tobytes(), self.windows.astype(np.uint16 if len(self.keys) < 1 << 16 else np.int32).tobytes()
 
     @classmethod
-    def unpacked(cls, keys: bytes, sizes: bytes, runs: bytes, windows: bytes) -> Words:
+    def unpacked(cls, keys: bytes, windows: bytes, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Words:
+        """table: the hashes of all words of all texts, ascending, where their runs begin, and the runs."""
         out = cls.__new__(cls)
-        out.keys, out.n, out.tri = np.frombuffer(keys, np.uint64), np.frombuffer(sizes, np.int32).astype(np.int64), np.frombuffer(runs, np.uint16)
-        out.bucket = (out.keys >> np.uint64(20)).astype(np.int64) % WORDS
-        out.split = np.concatenate([[0], np.cumsum(out.n)]).astype(np.int64)
-        out.windows = np.frombuffer(windows, np.int32).reshape(-1, WINDOW)
+        out.keys, out.table = np.frombuffer(keys, np.uint64), table
+        out.windows = np.frombuffer(windows, np.uint16 if len(out.keys) < 1 << 16 else np.int32).reshape(-1, WINDOW)
         out.text, out.first = np.zeros(len(out.windows), np.int64), np.array([0, len(out.windows)])
         return out
 
@@ -96,19 +95,27 @@ class Words:
     def joined(cls, parts: list[Words]) -> Words:
         """The words and windows of several groups of texts as one."""
         out = cls.__new__(cls)
-        out.keys, at = np.unique(np.concatenate([w.keys for w in parts]), return_index=True)
-        n = np.concatenate([w.n for w in parts])
-        old = np.concatenate([[0], np.cumsum(n)])
-        out.bucket, out.n = np.concatenate([w.bucket for w in parts])[at], n[at]
+        keys, split, runs = parts[0].table if hasattr(parts[0], "table") else cls._runs(parts)
+        out.keys = np.unique(np.concatenate([w.keys for w in parts]))
+        at = np.searchsorted(keys, out.keys)
+        out.bucket, out.n = (out.keys >> np.uint64(20)).astype(np.int64) % WORDS, split[at + 1] - split[at]
         out.split = np.concatenate([[0], np.cumsum(out.n)]).astype(np.int64)
-        out.tri = np.concatenate([w.tri for w in parts])[np.repeat(old[at] - out.split[:-1], out.n) + np.arange(out.split[-1])]
-        number = [np.concatenate([[0], np.searchsorted(out.keys, w.keys) + 1]).astype(np.int32) for w in parts]
-        out.windows = np.concatenate([m[w.windows] for m, w in zip(number, parts, strict=True)])
+        out.tri = runs[np.repeat(split[at] - out.split[:-1], out.n) + np.arange(out.split[-1])]
+        out.windows = np.concatenate([np.concatenate([[0], np.searchsorted(out.keys, w.keys) + 1]).astype(np.int32)[w.windows] for w in parts])
         texts = np.concatenate([[0], np.cumsum([len(w.first) - 1 for w in parts])])
         out.text = np.concatenate([w.text + k for w, k in zip(parts, texts[:-1], strict=True)])
         out.first = np.concatenate([[0], np.cumsum(np.bincount(out.text, minlength=texts[-1]))])
         return out
 
+    @staticmethod
+    def _runs(parts: list[Words]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The table of parts that have their words with them."""
+        keys, at = np.unique(np.concatenate([w.keys for w in parts]), return_index=True)
+        n = np.concatenate([w.n for w in parts])
+        old, n = np.concatenate([[0], np.cumsum(n)])[at], n[at]
+        split = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        return keys, split, np.concatenate([w.tri for w in parts])[np.repeat(old - split[:-1], n) + np.arange(split[-1])]
+
     def vectors(self, p: dict) -> np.ndarray:
         """The input of each distinct word; that of no word is 0."""
         out = np.zeros((len(self.bucket) + 1, p["word"].shape[1]), np.float32)
@@ -348,18 +355,19 @@ def _subset(words: Words, numbers: np.ndarray) -> Words:
 
 
 def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What learning needs of each text: its distinct words, as hashes and hashed runs of bytes, and its windows of them."""
+    """What learning needs of each text: its distinct words, as hashes, its windows of them, and the words' hashed runs of bytes."""
     for batch in batches:
         texts = batch.column(2).cast(pa.large_binary()).fill_null(b"")
-        rows = []
+        rows, size, runs = [], [], []
         for k in range(len(texts)):
             buf = np.frombuffer(texts[k].as_buffer(), np.uint8)
-            rows.append(Words(buf, np.array([0, len(buf)])).packed())
-        size = [len(r[-1]) // (4 * WINDOW) for r in rows]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(3), pa.array(size, pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(4))],
-            ["n", "h", "label", "size", "keys", "sizes", "runs", "windows"],
-        )
+            own = Words(buf, np.array([0, len(buf)]))
+            tri = own.tri.astype(np.uint16)
+            rows.append(own.packed())
+            size.append(len(own.windows))
+            runs.append([(x, tri[a:b].tobytes()) for x, a, b in zip(own.keys.view(np.int64).tolist(), own.split[:-1].tolist(), own.split[1:].tolist(), strict=True)])
+        columns = [pa.array(size, pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)), pa.array(runs, pa.list_(pa.struct([("key", pa.int64()), ("runs", pa.binary())])))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *columns], ["n", "h", "label", "size", "keys", "windows", "words"])
 
 
 def chosen(sizes: list[tuple], most: int, windows: int) -> list[int]:
@@ -377,14 +385,19 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, windows: int =
     learn = remainder(3) != 1
     parts = [labelled(docs, labels.where(F.col("toxic") == k), "toxic", learn, most) for k in (0, 1)]
     rows = parts[0].union(parts[1]).select(F.monotonically_increasing_id().alias("n"), "h", "text", "label")
-    held = written(rows.mapInArrow(_windowed, "n long, h long, label int, size long, keys binary, sizes binary, runs binary, windows binary"), "windows")
+    shape = "n long, h long, label int, size long, keys binary, windows binary, words array<struct<key: long, runs: binary>>"
+    held = written(rows.mapInArrow(_windowed, shape), "windows")
     light = held.select("label", "h", "size", "n").collect()  # 2 * most rows, but for doc_ids that repeat
     pick = [n for k in (0, 1) for n in chosen([(r.h, r.size, r.n) for r in light if r.label == k], most, windows)]
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame([(n,) for n in pick], "n long")
-    table_ = held.join(F.broadcast(wanted), "n").toArrow()  # 2 * windows windows at the most
+    wanted = held.join(F.broadcast(docs.sparkSession.createDataFrame([(n,) for n in pick], "n long")), "n")
+    table_ = wanted.select("h", "label", "keys", "windows").toArrow()  # 2 * windows windows at the most
     table_ = table_.sort_by([("h", "ascending"), ("label", "ascending"), ("keys", "ascending"), ("windows", "ascending")])
-    texts = [Words.unpacked(*(x.as_py() for x in r)) for r in zip(*(table_[c].combine_chunks() for c in ("keys", "sizes", "runs", "windows")), strict=True)]
+    words = wanted.select(F.explode("words").alias("w")).groupBy("w.key").agg(F.first("w.runs").alias("runs")).toArrow()  # each word of them once
+    keys = words["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    runs = [np.frombuffer(x, np.uint16) for x in words["runs"].combine_chunks().take(pa.array(order)).to_pylist()]
+    lookup = keys[order], np.concatenate([[0], np.cumsum([len(x) for x in runs])]).astype(np.int64), np.concatenate([np.zeros(0, np.uint16), *runs])
+    texts = [Words.unpacked(k.as_py(), w.as_py(), lookup) for k, w in zip(table_["keys"].combine_chunks(), table_["windows"].combine_chunks(), strict=True)]
     y = table_["label"].to_numpy().astype(np.float64)
     dropped(held)
     n = labels.where(learn & F.col("toxic").isin(0, 1)).agg(F.avg("toxic").alias("share")).first().share
