@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -165,3 +165,15 @@ def grade(kind: Column, answer: Column, expected: Column, model: Column, cosine:
     score = F.when(none, 0.0).when(kind == "cloze", grade_exact(answer, expected)).otherwise(blend(model, similarity_score(cosine)))
     by = F.when(none, "no answer").when(kind == "cloze", "exact match").when(model.isNotNull(), "llm + embedding similarity").otherwise("embedding similarity")
     return score, by
+
+
+def save_states(states: DataFrame, path: str) -> None:
+    """The states of all keys as a table; the one before is replaced as a whole."""
+    states.write.mode("overwrite").parquet(path)
+
+
+def load_states(spark: SparkSession, path: str, empty: DataFrame) -> DataFrame:
+    """The states saved at a path; the empty table where none have been."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(empty.schema).parquet(path) if there else empty

@@ -28,16 +28,28 @@ def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     return tf, lengths, idf
 
 
-def bm25_scores(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
-    """(query_key, key, score) of every pair that shares a term.
+class Index:
+    """The keyword index of a table, written once, for any number of searches."""
+
+    def __init__(self, docs: DataFrame, key: str, text: str):
+        tf, lengths, idf = postings(docs, key, text)
+        self.key, self.lengths = key, stored(lengths, "lengths")
+        self.tf, self.idf = stored(tf, "postings"), stored(idf, "idf")
+
+    def scores(self, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
+        """(query_key, key, score) of every pair that shares a term.
 
-    Only the queries' terms leave the index: postings meet them on the term, weights are summed before the shuffle by pair."""
-    tf, lengths, idf = postings(docs, key, text)
-    wanted = queries.select(query_key, F.explode(F.array_distinct(tm.tokens(F.col(query_text)))).alias("term"))
-    mean = lengths.agg(F.avg("length").alias("mean"))
-    rows = tf.join(wanted.select("term").distinct(), "term", "left_semi").join(idf, "term").join(lengths, key).crossJoin(F.broadcast(mean))  # mean: one row
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return rows.select("term", key, weight.alias("w")).join(wanted, "term").groupBy(query_key, key).agg(F.sum("w").alias("score"))
+        Only the queries' terms leave the index: postings meet them on the term, weights are summed before the shuffle by pair."""
+        wanted = queries.select(query_key, F.explode(F.array_distinct(tm.tokens(F.col(query_text)))).alias("term"))
+        mean = self.lengths.agg(F.avg("length").alias("mean"))
+        rows = self.tf.join(wanted.select("term").distinct(), "term", "left_semi").join(self.idf, "term").join(self.lengths, self.key).crossJoin(F.broadcast(mean))  # one row
+        weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+        return rows.select("term", self.key, weight.alias("w")).join(wanted, "term").groupBy(query_key, self.key).agg(F.sum("w").alias("score"))
+
+
+def bm25_scores(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
+    """A single search of a table that has no index."""
+    return Index(docs, key, text).scores(queries, query_key, query_text)
 
 
 def top(scores: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
@@ -122,6 +134,21 @@ def remembered(messages: DataFrame, key: str, turn: str, most: int = 20) -> Data
     return last_messages(messages.where(~((F.col("role") == "assistant") & (F.coalesce("text", F.lit("")) == ""))), key, turn, most)
 
 
+def session_messages(requests: DataFrame, key: str, at: str, most: int = 20) -> DataFrame:
+    """(key, doc_id, turn, role, text): what a session remembers after all its requests (key, doc_id, at, question, answer).
+
+    A request about another document than the one before begins the session anew. A question is kept, an answer only if
+    there is one; the last ``most`` messages stay."""
+    order = Window.partitionBy(key).orderBy(at)
+    new = F.coalesce(F.lag("doc_id").over(order) != F.col("doc_id"), F.lit(True)).cast("int")
+    runs = requests.withColumn("_run", F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    last = runs.withColumn("_last", F.max("_run").over(Window.partitionBy(key))).where("_run = _last")
+    said = F.array(F.struct(F.lit(0).alias("n"), F.lit("user").alias("role"), F.col("question").alias("text")), F.struct(F.lit(1).alias("n"), F.lit("assistant").alias("role"), F.col("answer").alias("text")))
+    rows = last.select(key, "doc_id", at, F.explode(said).alias("m")).where("m.role = 'user' or coalesce(m.text, '') != ''")
+    rows = rows.withColumn("turn", (F.row_number().over(Window.partitionBy(key).orderBy(at, "m.n")) - 1).cast("int"))
+    return last_messages(rows.select(key, "doc_id", "turn", "m.role", "m.text"), key, "turn", most)
+
+
 def latest_sessions(sessions: DataFrame, used: str, key: str, most: int = 200) -> DataFrame:
     """The sessions used last; a top-k, of which each partition keeps its own."""
     return sessions.orderBy(F.desc(used), F.desc(key)).limit(most)

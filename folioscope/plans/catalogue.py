@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import terms as tm
@@ -13,6 +13,7 @@ from folioscope.operators import concepts as cc
 from folioscope.operators import context as cx
 from folioscope.operators import mastery as ms
 from folioscope.operators import paths as ps
+from folioscope.operators import quizzes as qz
 from folioscope.operators import replies as rp
 from folioscope.operators import retrieval as rt
 from folioscope.plans import fixtures as fx
@@ -315,7 +316,8 @@ _MEMO: dict[tuple, object] = {}
 
 def _once(name: str, spark, sf, make):
     """What several queries of a session share is made once: its tables are written, so that all read the same."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    files = tuple(sorted(table(spark, sf, "documents").inputFiles()))
+    key = (spark.sparkContext.applicationId, sf, files, name)
     if key not in _MEMO:
         _MEMO[key] = make()
     return _MEMO[key]
@@ -475,16 +477,21 @@ def concept_levels(spark, sf):
 # Retrieval.
 
 
-def _bm25(spark, sf):
+def _index(spark, sf):
+    """The keyword index of documents: every search of a session reads the same."""
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return _once("index", spark, sf, lambda: rt.Index(docs, "doc_id", "text"))
+
+
+def _bm25(spark, sf):
     asked = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"))
-    return rt.bm25_scores(docs, "doc_id", "text", asked, "item_id", "question")
+    return _index(spark, sf).scores(asked, "item_id", "question")
 
 
 @query
 def bm25_index(spark, sf):
-    tf, lengths, idf = rt.postings(table(spark, sf, "documents"), "doc_id", "text")
-    return tf.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df")).join(idf, "term").select("term", "tf", "df", F.round("idf", 6).alias("idf"))
+    index = _index(spark, sf)
+    return index.tf.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df")).join(index.idf, "term").select("term", "tf", "df", F.round("idf", 6).alias("idf"))
 
 
 @query
@@ -536,7 +543,7 @@ def _hybrid(spark, sf):
     """Vectors and texts share their ids: a query is a vector and the text under the same id."""
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     asked = docs.where("doc_id < 10").select(F.col("doc_id").alias("query_id"), F.left("text", F.lit(300)).alias("question"))
-    keyword = rt.top(rt.bm25_scores(docs, "doc_id", "text", asked, "query_id", "question"), "query_id", "doc_id", rt.CANDIDATES)
+    keyword = rt.top(_index(spark, sf).scores(asked, "query_id", "question"), "query_id", "doc_id", rt.CANDIDATES)
     vectors = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
     dense = rt.dense_top(vectors, "doc_id", "embedding", _asked(spark, sf), "query_id", rt.CANDIDATES)
     return docs, rt.hybrid(dense, keyword, "query_id", "doc_id")
@@ -551,7 +558,7 @@ def _hybrid_all(spark, sf):
     """Every vector and every whole text whose id is divisible by 50 asks."""
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
-    keyword = rt.top(rt.bm25_scores(docs, "doc_id", "text", asked, "query_id", "question"), "query_id", "doc_id", rt.CANDIDATES)
+    keyword = rt.top(_index(spark, sf).scores(asked, "query_id", "question"), "query_id", "doc_id", rt.CANDIDATES)
     vectors = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
     dense = rt.dense_top_blocks(vectors, "doc_id", "embedding", _every(spark, sf), "query_id", rt.CANDIDATES)
     return docs, rt.hybrid(dense, stored(keyword, "keyword"), "query_id", "doc_id")
@@ -771,14 +778,48 @@ def quiz_context(spark, sf):
     return rows.select("doc_id", F.length("context").alias("n_chars"), F.size("quotes").alias("n_quotes"))
 
 
+def _learned(steps):
+    """States of documents in which the first step of the path has been answered well three times."""
+    first = steps.where("pos = 1").select("doc_id", "term", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("event_id"))
+    return ms.fold(first.withColumn("ts", F.to_timestamp(F.lit(fx.NOW))).withColumn("score", F.lit(1.0)), ["doc_id", "term"])
+
+
+def _next_quiz(spark, sf):
+    """Every fifth document is asked for its second topic; of each three, one has a model's reply and one an unusable one."""
+    a, _, steps, kept = _path(spark, sf)
+    asked = a.topics.where("doc_id % 5 = 0 and pos = 2").select("doc_id", F.upper("term").alias("concept"))
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"question": "What does the text say of number '), F.col("doc_id").cast("string"), F.lit('?", "answer": "that"}'))).otherwise("no json")
+    replies = a.ctx.texts.where("doc_id % 3 < 2").select("doc_id", raw.alias("raw"))
+    return qz.next_quiz(a.ctx, a.topics, a.mentions, steps, kept, _learned(steps), asked, replies, F.to_timestamp(F.lit(fx.NOW)))
+
+
 @query
 def next_quiz(spark, sf):
-    """A cloze for the first concept of each document's path: the first of its quotes that can be blanked."""
-    a, _, steps, kept = _path(spark, sf)
-    rows = ps.concept_evidence(a.ctx, a.topics, a.mentions, steps, kept).where("path_position = 1").withColumn("p", tm.pattern(F.col("term")))
-    quotes = F.concat(F.coalesce("definitions", F.expr("array()")), F.coalesce("mentions", F.expr("array()")))
-    asked = rows.select("doc_id", "term", "p", F.posexplode(quotes).alias("k", "q")).withColumn("question", ms.cloze(F.col("q.text"), F.col("p"))).where("question is not null")
-    return asked.groupBy("doc_id", "term").agg(F.min_by("question", "k").alias("question"))
+    return _next_quiz(spark, sf).select("doc_id", "concept", "reason", "kind", "question", "answer", "generated_by", F.md5("context").alias("context_md5"))
+
+
+@query
+def pending_quizzes(spark, sf):
+    made = table(spark, sf, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("quiz_id"), (F.col("turn") * 100_000 + F.col("conv_id")).alias("made"))
+    return qz.pending(made, "made", "quiz_id")
+
+
+@query
+def session_turns(spark, sf):
+    """Questions with the answers that follow them, about another document every fourth turn."""
+    rows = table(spark, sf, "conversations")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    rows = rows.withColumn("answer", F.when(F.lead("role").over(order) == "assistant", F.lead("text").over(order))).where("role = 'user'")
+    asked = rows.select("conv_id", (F.col("turn") / 4).cast("int").alias("doc_id"), "turn", F.col("text").alias("question"), "answer")
+    return rt.session_messages(asked.withColumnRenamed("turn", "at"), "conv_id", "at").select("conv_id", "doc_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+@query
+def mastery_store(spark, sf):
+    states, path = _states(spark, sf), st.place(spark, "mastery")
+    none = ms.load_states(spark, path, states.limit(0))
+    ms.save_states(none.unionByName(states), path)
+    return ms.load_states(spark, path, states.limit(0)).select("user_id", "concept", "mastery", "attempts", "exposures", "reps")
 
 
 # Streaming twins, run over the whole tables with one trigger.

@@ -337,6 +337,12 @@ ORACLES: dict[str, str] = {
     "rrf_fusion": f"WITH r AS ({values('query_id INT, list_id INT, chunk INT, rank INT', fx.RANKINGS)}), f AS (SELECT query_id, chunk, sum(1.0 / (60 + rank)) AS score, min(list_id * 1000 + rank) AS first FROM r GROUP BY ALL) SELECT query_id, chunk, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) AS INT) AS pos FROM f",
     "hybrid_retrieve": FUSED,
     "label_forms": values("i INT, label VARCHAR", [(0, "p. 3"), (1, "pp. 3–5"), (2, "Excerpt 3")]),
+    "mastery_store": FOLD + "SELECT user_id, concept, mastery, attempts, exposures, reps FROM state",
+    "pending_quizzes": "SELECT conv_id || '-' || turn AS quiz_id, turn * 100000 + conv_id AS made FROM conversations WHERE role = 'user' ORDER BY made DESC, quiz_id DESC LIMIT 500",
+    "session_turns": """WITH q AS (SELECT conv_id, turn // 4 AS doc_id, turn AS seen, text AS question, role, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+l AS (SELECT *, max(doc_id) OVER (PARTITION BY conv_id) AS last FROM q WHERE role = 'user'), m AS (SELECT conv_id, doc_id, seen, 0 AS n, 'user' AS role, question AS text FROM l WHERE doc_id = last UNION ALL SELECT conv_id, doc_id, seen, 1, 'assistant', answer FROM l WHERE doc_id = last AND coalesce(answer, '') <> ''),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY seen, n) - 1 AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY seen DESC, n DESC) AS back FROM m)
+SELECT conv_id, CAST(doc_id AS INT) AS doc_id, CAST(turn AS INT) AS turn, role, md5(text) AS text_md5 FROM t WHERE back <= 20""",
     "fit_history": "WITH k AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS s FROM conversations), f AS (SELECT *, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS first FROM k WHERE s <= 2000) SELECT conv_id, turn, role FROM f WHERE turn >= first",
     "last_messages": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 3",
     "session_remember": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE NOT (role = 'assistant' AND coalesce(text, '') = '')) WHERE k <= 4",
