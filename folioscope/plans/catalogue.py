@@ -146,7 +146,7 @@ def heading_locate(spark, sf):
 @query
 def heading_weight(spark, sf):
     pages, headings = _headed(spark, sf)
-    terms = headings.select("doc_id", F.explode(F.array_distinct(F.slice(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 2), 1, 5))).alias("term"))
+    terms = headings.select("doc_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 2))).alias("term"))
     return cc.heading_weight(terms, headings)
 
 
@@ -193,8 +193,7 @@ def page_asof_lookup(spark, sf):
 
 @query
 def evidence_ref(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.coalesce(F.split("text", "\n", -1)[0], F.lit("")).alias("t"))
-    return rows.select("doc_id", tx.excerpt(F.col("t"), 60).alias("ref"))
+    return table(spark, sf, "documents").select("doc_id", tx.excerpt(F.coalesce("text", F.lit(""))).alias("ref"))
 
 
 @query
@@ -215,24 +214,27 @@ def singular_fold(spark, sf):
     return _words(spark, sf).select("word", tm.singular(F.col("word")).alias("folded"))
 
 
-def _first_words(spark, sf, n=3):
-    return table(spark, sf, "documents").select("doc_id", F.coalesce(F.array_join(F.slice(F.split("text", r"\s+"), 1, n), " "), F.lit("")).alias("term"))
+def _whole(spark, sf):
+    """Every whole text as a term of many words."""
+    return table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("term"))
 
 
 @query
 def term_key(spark, sf):
-    return _first_words(spark, sf).select("doc_id", tm.term_key(F.col("term")).alias("key"))
+    return _whole(spark, sf).select("doc_id", F.md5(tm.term_key(F.col("term"))).alias("key_md5"))
 
 
 @query
 def concept_key(spark, sf):
-    return _first_words(spark, sf).select("doc_id", tm.concept_key(F.concat(F.lit("  "), F.replace("term", F.lit(" "), F.lit("  ")))).alias("key"))
+    return _whole(spark, sf).select("doc_id", F.md5(tm.concept_key(F.concat(F.lit("  "), F.replace("term", F.lit(" "), F.lit("  "))))).alias("key_md5"))
 
 
 @query
 def find_topic(spark, sf):
-    rows = _first_words(spark, sf, 1).select("doc_id", tm.term_key(F.col("term")).alias("key")).where("key != ''")
-    return rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    """The first document that has a word, whatever its number, of all words of all texts."""
+    rows = _whole(spark, sf).select("doc_id", F.explode(F.array_distinct(F.split("term", r"\s+"))).alias("word"))
+    rows = rows.groupBy(tm.term_key(F.col("word")).alias("key")).agg(F.min("doc_id").alias("doc_id"))
+    return rows.where("key != ''")
 
 
 @query
@@ -342,11 +344,10 @@ def term_spread(spark, sf):
 
 @query
 def cooccurrence_edges(spark, sf):
-    secs, _ = _candidates(spark, sf)
-    found = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) == 4))
-    rows = secs.select("doc_id", "sec", F.explode(found).alias("term")).withColumn("ord", F.col("term"))
-    sizes = secs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    edges = cc.cooccurrence(rows, sizes, cc.SHOWN)
+    """Of all candidate terms of all texts."""
+    a = _analysis(spark, sf)
+    sizes = a.ctx.sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    edges = cc.cooccurrence(a.mentions.join(a.candidates.select("doc_id", "term", "ord"), ["doc_id", "term"]), sizes)
     return edges.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
@@ -505,23 +506,13 @@ def bm25_topk(spark, sf):
     return rt.top(_bm25(spark, sf), "item_id", "doc_id", 5).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-def _asked(spark, sf, n=10):
-    return table(spark, sf, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-
-
-@query
-def dense_topk(spark, sf):
-    rows = rt.dense_top(table(spark, sf, "embeddings"), "vec_id", "embedding", _asked(spark, sf), "query_id", 10)
-    return rows.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
-
-
 def _every(spark, sf):
-    """The questions of a whole search: every vector whose id is divisible by 50."""
+    """The questions of a search: every vector whose id is divisible by 50."""
     return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 @query
-def dense_topk_all(spark, sf):
+def dense_topk(spark, sf):
     rows = rt.dense_top_blocks(table(spark, sf, "embeddings"), "vec_id", "embedding", _every(spark, sf), "query_id", 10)
     return rows.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
@@ -540,22 +531,7 @@ def rrf_fusion(spark, sf):
 
 
 def _hybrid(spark, sf):
-    """Vectors and texts share their ids: a query is a vector and the text under the same id."""
-    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    asked = docs.where("doc_id < 10").select(F.col("doc_id").alias("query_id"), F.left("text", F.lit(300)).alias("question"))
-    keyword = rt.top(_index(spark, sf).scores(asked, "query_id", "question"), "query_id", "doc_id", rt.CANDIDATES)
-    vectors = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    dense = rt.dense_top(vectors, "doc_id", "embedding", _asked(spark, sf), "query_id", rt.CANDIDATES)
-    return docs, rt.hybrid(dense, keyword, "query_id", "doc_id")
-
-
-@query
-def hybrid_retrieve(spark, sf):
-    return _hybrid(spark, sf)[1].select("query_id", "doc_id", F.round("score", 9).alias("score"), "pos", "dense_rank", "keyword_rank")
-
-
-def _hybrid_all(spark, sf):
-    """Every vector and every whole text whose id is divisible by 50 asks."""
+    """Every vector and every whole text whose id is divisible by 50 asks. Vectors and texts share their ids."""
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
     keyword = rt.top(_index(spark, sf).scores(asked, "query_id", "question"), "query_id", "doc_id", rt.CANDIDATES)
@@ -565,13 +541,13 @@ def _hybrid_all(spark, sf):
 
 
 @query
-def hybrid_retrieve_all(spark, sf):
-    return _hybrid_all(spark, sf)[1].select("query_id", "doc_id", F.round("score", 9).alias("score"), "pos", "dense_rank", "keyword_rank")
+def hybrid_retrieve(spark, sf):
+    return _hybrid(spark, sf)[1].select("query_id", "doc_id", F.round("score", 9).alias("score"), "pos", "dense_rank", "keyword_rank")
 
 
 @query
 def context_block(spark, sf):
-    docs, fused = _hybrid_all(spark, sf)
+    docs, fused = _hybrid(spark, sf)
     rows = fused.join(docs, "doc_id").withColumn("label", tx.source_label(F.lit("text"), F.lit(1), F.lit(1), F.col("doc_id")))
     return rt.context_block(rows, "query_id").select("query_id", F.md5("block").alias("block_md5"), F.length("block").alias("n_chars"))
 

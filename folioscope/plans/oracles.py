@@ -89,7 +89,7 @@ scores AS (SELECT {key}, doc_id, sum(idf * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 +
 BENCH = BM25 + SCORES.format(key="item_id", tokens=TOKENS.format(x="text"), asked="benchmark")
 UNIT = "list_transform(CAST({v} AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(CAST({v} AS DOUBLE[]), lambda y: y * y))))"
 NEAREST = f"""u AS (SELECT vec_id, {UNIT.format(v='embedding')} AS v FROM embeddings),
-near AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v) AS score FROM u a, u b WHERE a.vec_id < 10)
+near AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v) AS score FROM u a, u b WHERE a.vec_id % 50 = 0)
 """
 
 FOLD = """WITH log AS (SELECT user_id, event_type AS concept, list({'mastery': CAST(0 AS DOUBLE), 'attempts': 0, 'correct': 0, 'exposures': 0, 'ease': CAST(2.5 AS DOUBLE), 'interval': 0, 'reps': 0, 'last_score': CAST(NULL AS DOUBLE),
@@ -117,7 +117,6 @@ REPLY = {
     "agreement": "Sounds good. What would you like to explore next?",
     "greeting": "Hey! I'm assistant, your document analyst. Ask me anything about the document you've uploaded.",
 }
-FIRST = "list_aggregate(regexp_split_to_array(coalesce(text, ''), '\\s+')[1:{n}], 'string_agg', ' ')"
 PERCENT = "CAST(CAST(round_even(round({x} * 100, 9), 0) AS INT) AS VARCHAR) || '%'"
 HASH = f"sha256({strip('coalesce(text, chr(32))')})"
 
@@ -145,7 +144,7 @@ y AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id, sec)) AS y FROM x
 SELECT doc_id, term, round(sum(y) / max(n), 6) AS score FROM y GROUP BY doc_id, term"""
 PLAIN = "regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '<[^>]*>', chr(10), 'g')"
 HEAD = "regexp_replace(regexp_extract(coalesce(html, ''), '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"
-FUSED = f"""{BM25}{SCORES.format(key='query_id', tokens=TOKENS.format(x='left(text, 300)'), asked="(SELECT doc_id AS query_id, coalesce(text, '') AS text FROM documents WHERE doc_id < 10)")},
+FUSED = f"""{BM25}{SCORES.format(key='query_id', tokens=TOKENS.format(x='text'), asked="(SELECT doc_id AS query_id, coalesce(text, '') AS text FROM documents WHERE doc_id % 50 = 0)")},
 kw AS (SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scores) WHERE rank <= 20 AND score > 0),
 {NEAREST}, de AS (SELECT query_id, vec_id AS doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM near) WHERE rank <= 20),
 f AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score, min(l * 1000 + rank) AS first FROM (SELECT *, 0 AS l FROM de UNION ALL SELECT *, 1 AS l FROM kw) GROUP BY ALL),
@@ -282,6 +281,10 @@ b AS (SELECT doc_id, term, arg_max(form, {'n': n, 'first': -first}) AS form FROM
     "section_term_frequency": FOUND + "SELECT doc_id, CAST(sec AS INT) AS sec, term, count(*) AS n FROM found GROUP BY ALL",
     "term_spread": FOUND + "SELECT f.doc_id, f.term, count(DISTINCT sec) AS df, round(count(DISTINCT sec) / max(k.n), 6) AS spread FROM found f JOIN (SELECT doc_id, count(*) AS n FROM secs GROUP BY doc_id) k USING (doc_id) GROUP BY ALL",
     "concept_stats": FOUND + "SELECT doc_id, term, count(*) AS mentions, count(DISTINCT sent) AS sentences, count(DISTINCT sent_sec) AS sections FROM found GROUP BY ALL",
+    "cooccurrence_edges": FOUND
+    + """, own AS (SELECT DISTINCT f.doc_id, f.sec, t.term, t.ord FROM found f JOIN terms t USING (doc_id, term)), k AS (SELECT doc_id, count(*) AS n FROM secs GROUP BY doc_id),
+e AS (SELECT a.doc_id, count(*) / max(n) AS weight FROM own a JOIN own b ON a.doc_id = b.doc_id AND a.sec = b.sec AND a.ord < b.ord JOIN k ON k.doc_id = a.doc_id GROUP BY a.doc_id, a.term, b.term)
+SELECT doc_id, count(*) AS n_edges, round(sum(weight), 6) AS weight FROM e WHERE weight >= 0.05 GROUP BY doc_id""",
     "drop_fragments": FOUND + NESTED + "SELECT doc_id, term FROM kept",
     "concept_introductions": HEARD + "SELECT doc_id, term, CAST(coalesce(min(sent) FILTER (WHERE defines), min(sent)) AS INT) AS intro FROM heard WHERE words >= 6 GROUP BY ALL",
     "exam_boost": HEARD + TOLD + "SELECT definition, figure, example, count(*) AS n FROM told JOIN flags USING (doc_id, term) GROUP BY ALL",
@@ -310,17 +313,17 @@ ORACLES: dict[str, str] = {
     "metadata_fixtures": values("line VARCHAR, dropped BOOLEAN", fx.LINES),
     "heading_tiers": values("line_no INT, level INT", [(20, 1), (21, 2), (22, 3)]),
     "heading_locate": f"SELECT doc_id, CAST(hit - 1 AS INT) AS found_at, title FROM (SELECT page_id AS doc_id, {HEAD} AS title, strpos(lower({PLAIN}), lower(trim(regexp_replace({HEAD}, '\\s+', ' ', 'g')))) AS hit FROM pages) WHERE hit > 0 AND length(title) >= 3",
-    "heading_weight": f"SELECT page_id AS doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower({HEAD}), '[^a-z]+'), lambda w: length(w) > 2)[1:5])) AS term, CAST(3.0 AS DOUBLE) AS heading FROM pages WHERE {HEAD} <> ''",
+    "heading_weight": f"SELECT page_id AS doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower({HEAD}), '[^a-z]+'), lambda w: length(w) > 2))) AS term, CAST(3.0 AS DOUBLE) AS heading FROM pages WHERE {HEAD} <> ''",
     "section_starts": "SELECT doc_id, list_aggregate(list_transform(range(0, 6 // c + 1), lambda i: CAST(i * c * s AS VARCHAR)), 'string_agg', ',') AS starts FROM (SELECT doc_id, s, CAST(ceil(30 / s) AS INT) AS c FROM (SELECT doc_id, doc_id % 17 + 9 AS s FROM documents))",
     "fixed_window_sections": SECTIONS + "SELECT doc_id, sec, start, stop FROM secs",
     "section_flags": values("text VARCHAR, flags VARCHAR", fx.FLAGS),
     "sentence_split": f"SELECT doc_id, count(*) AS n_sentences, CAST(sum({words('text')}) AS BIGINT) AS n_words, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM {SENTENCES} GROUP BY doc_id",
     "page_asof_lookup": f"WITH p AS (SELECT doc_id, page, length(text) AS n, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM {BINDERS}), o AS (SELECT doc_id, unnest(range(0, CAST(max(start + n) AS BIGINT) + 1, 997)) AS off FROM p GROUP BY doc_id) SELECT o.doc_id, CAST(o.off AS INT) AS off, CAST(p.page AS INT) AS page FROM o ASOF JOIN p ON o.doc_id = p.doc_id AND o.off >= p.start",
-    "evidence_ref": f"SELECT doc_id, CASE WHEN length(t) > 60 THEN regexp_replace(left(t, 60), ' [^ ]*$', '') || '…' ELSE t END AS ref FROM (SELECT doc_id, string_split(coalesce(text, ''), {NL})[1] AS t FROM documents)",
+    "evidence_ref": "SELECT doc_id, CASE WHEN length(t) > 320 THEN regexp_replace(left(t, 320), ' [^ ]*$', '') || '…' ELSE t END AS ref FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
     "singular_fold": f"SELECT word, {sing('word')} AS folded FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)",
-    "term_key": f"SELECT doc_id, coalesce(list_aggregate(list_transform(regexp_extract_all(lower({FIRST.format(n=3)}), '[a-z0-9]+'), lambda w: {sing('w')}), 'string_agg', ' '), '') AS key FROM documents",
-    "concept_key": f"SELECT doc_id, trim(regexp_replace(lower({FIRST.format(n=3)}), '\\s+', ' ', 'g')) AS key FROM documents",
-    "find_topic": f"SELECT key, min(doc_id) AS doc_id FROM (SELECT doc_id, coalesce(list_aggregate(list_transform(regexp_extract_all(lower({FIRST.format(n=1)}), '[a-z0-9]+'), lambda w: {sing('w')}), 'string_agg', ' '), '') AS key FROM documents) WHERE key <> '' GROUP BY key",
+    "term_key": f"SELECT doc_id, md5(coalesce(list_aggregate(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: {sing('w')}), 'string_agg', ' '), '')) AS key_md5 FROM documents",
+    "concept_key": "SELECT doc_id, md5(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))) AS key_md5 FROM documents",
+    "find_topic": f"SELECT key, min(doc_id) AS doc_id FROM (SELECT doc_id, coalesce(list_aggregate(list_transform(regexp_extract_all(lower(word), '[a-z0-9]+'), lambda w: {sing('w')}), 'string_agg', ' '), '') AS key FROM (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(coalesce(text, ''), '\\s+'))) AS word FROM documents)) WHERE key <> '' GROUP BY key",
     "pattern_columns": values("term VARCHAR, body VARCHAR", [(" ".join(t), "(?<![A-Za-z0-9])" + "(?:[^\\S\\n]|-)+".join(f"\\Q{w}\\E" for w in t) + "(?:s|es)?(?![A-Za-z0-9])") for t in (k.split() for k in PROBES)]),
     "term_mentions": " UNION ALL ".join(f"SELECT doc_id, {lit(t)} AS term, CAST(m AS BIGINT) AS mentions FROM (SELECT doc_id, {mentions('text', b)} AS m FROM documents) WHERE m > 0" for t, b in PROBES.items()),
     "definitional_sentences": _defined(),
@@ -328,7 +331,6 @@ ORACLES: dict[str, str] = {
     "tokenize_chunks": f"SELECT doc_id, CAST(len(t) AS INT) AS n_tokens, md5(coalesce(list_aggregate(t, 'string_agg', ' '), '')) AS tokens_md5 FROM (SELECT doc_id, {TOKENS.format(x='text')} AS t FROM documents)",
     "branding_stopwords": f"WITH p AS (SELECT doc_id, page, max(page) OVER (PARTITION BY doc_id) AS last, text FROM {BINDERS}), w AS (SELECT doc_id, page, last, unnest(list_filter({RUNS.format(x='text')}, lambda x: regexp_full_match(x, '[a-z]{{4,}}') AND x NOT IN {listed(content_stops())})) AS word FROM p WHERE last >= 5) SELECT doc_id, word FROM w GROUP BY ALL HAVING count(*) FILTER (WHERE page = 1) > 0 AND count(*) FILTER (WHERE page = last) > 0 AND count(*) FILTER (WHERE page NOT IN (1, last)) = 0 AND count(*) >= 3",
     "tfidf_nominate": TFIDF,
-    "cooccurrence_edges": SECTIONS + ", t AS (SELECT DISTINCT doc_id, sec, unnest(list_filter(regexp_extract_all(lower(part), '[a-z]+'), lambda w: length(w) = 4)) AS term FROM secs), n AS (SELECT doc_id, count(*) AS n FROM secs GROUP BY doc_id), e AS (SELECT a.doc_id, a.term AS s, b.term AS t, count(*) AS k FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.sec = b.sec AND a.term < b.term GROUP BY ALL) SELECT doc_id, count(*) AS n_edges, round(sum(k / n), 6) AS weight FROM e JOIN n USING (doc_id) WHERE k / n >= 0.1 GROUP BY doc_id",
     "bm25_index": BM25 + "SELECT term, CAST(tf AS BIGINT) AS tf, df, round(idf, 6) AS idf FROM idf",
     "bm25_scores": BENCH + "SELECT item_id, count(*) AS n_docs, round(sum(score), 3) AS total FROM scores GROUP BY item_id",
     "bm25_topk": BENCH + "SELECT item_id, doc_id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scores) WHERE rank <= 5 AND score > 0",
@@ -336,6 +338,7 @@ ORACLES: dict[str, str] = {
     "pair_similarity": f"WITH u AS (SELECT vec_id, {UNIT.format(v='embedding')} AS v FROM embeddings) SELECT a.vec_id, round(list_inner_product(a.v, b.v), 6) AS similarity FROM u a JOIN u b ON b.vec_id = a.vec_id + 1",
     "rrf_fusion": f"WITH r AS ({values('query_id INT, list_id INT, chunk INT, rank INT', fx.RANKINGS)}), f AS (SELECT query_id, chunk, sum(1.0 / (60 + rank)) AS score, min(list_id * 1000 + rank) AS first FROM r GROUP BY ALL) SELECT query_id, chunk, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) AS INT) AS pos FROM f",
     "hybrid_retrieve": FUSED,
+    "context_block": f"SELECT query_id, md5(block) AS block_md5, CAST(length(block) AS INT) AS n_chars FROM (SELECT query_id, string_agg('[Excerpt ' || (doc_id + 1) || ']' || {NL} || coalesce(text, ''), {NL} || {NL} ORDER BY pos) AS block FROM ({FUSED}) JOIN documents USING (doc_id) GROUP BY query_id)",
     "label_forms": values("i INT, label VARCHAR", [(0, "p. 3"), (1, "pp. 3–5"), (2, "Excerpt 3")]),
     "mastery_store": FOLD + "SELECT user_id, concept, mastery, attempts, exposures, reps FROM state",
     "pending_quizzes": "SELECT conv_id || '-' || turn AS quiz_id, turn * 100000 + conv_id AS made FROM conversations WHERE role = 'user' ORDER BY made DESC, quiz_id DESC LIMIT 500",

@@ -48,7 +48,7 @@ def test_hybrid_asks_whole_texts(spark, sf):
     n, mean = len(words), sum(map(len, words.values())) / len(words)
     df = Counter(w for t in words.values() for w in set(t))
     tf = {d: Counter(t) for d, t in words.items()}
-    got = catalogue.queries()["hybrid_retrieve_all"](spark, sf).collect()
+    got = catalogue.queries()["hybrid_retrieve"](spark, sf).collect()
     asked = [d for d in words if d % 50 == 0]
     assert {r.query_id for r in got} >= {d for d in asked if words[d]}
     near = plain_nearest(spark, sf, rt.CANDIDATES)
