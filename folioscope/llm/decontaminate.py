@@ -33,7 +33,7 @@ from folioscope.llm import textbuf as tb
 from folioscope.llm.store import in_arrow, table, written
 
 SHINGLE, THRESHOLD, PERMS = 5, 0.8, 96
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, AT_ONCE = 16 << 20, 1 << 19
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -88,25 +88,45 @@ class Index:
     def candidates(self, own: np.ndarray) -> np.ndarray:
         """Items that agree with a window of their size class on a permutation, ascending.
 
-        A window's minimum is taken once for each permutation, however many items share the shingle in question."""
-        none = np.zeros(0, np.int64)
+        Windows are two blocks; a block's minimum is taken once for each permutation, however many items or places ask for
+        it. Places are looked at some at a time, and no more for items that are found."""
+        found = np.zeros(len(self.first) - 1, bool)
         hit = np.flatnonzero(self.there[(own >> np.uint64(64 - self.bits)).astype(np.int64)])
         if not len(hit) or not len(self.keys):
-            return none
+            return np.zeros(0, np.int64)
         lo, hi = np.searchsorted(self.keys, own[hit], "left"), np.searchsorted(self.keys, own[hit], "right")
         hit, lo, n = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-        if not len(hit):
-            return none
-        entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        place, item, perm = np.repeat(hit, n), self.item[entry], self.perm[entry].astype(np.int64)
-        u = self.upper[item]
-        place, item, perm, u, w = (np.concatenate(x) for x in zip(*((place, item, perm, u, place // u - back) for back in (0, 1)), strict=True))
-        ok = w >= 0
-        place, item, perm, u, w = (x[ok] for x in (place, item, perm, u, w))
-        asked = np.stack([u, w, perm], 1)
-        asked, which = np.unique(asked, axis=0, return_inverse=True)
-        least = np.array([tb.mix(own[k * size : k * size + 2 * size] ^ _SEEDS[p]).min() for size, k, p in asked.tolist()], np.uint64)
-        return np.unique(item[tb.mix(own[place] ^ _SEEDS[perm]) == least[which.ravel()]]).astype(np.int64)
+        upto = np.cumsum(n)
+        at = 0
+        while at < len(hit):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + AT_ONCE, "right")))
+            size = n[at:to]
+            entry = np.repeat(lo[at:to] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            place = np.repeat(hit[at:to], size)
+            new = ~found[self.item[entry]]
+            self._agreeing(own, place[new], entry[new], found)
+            at = to
+        return np.flatnonzero(found)
+
+    def _agreeing(self, own: np.ndarray, place: np.ndarray, entry: np.ndarray, found: np.ndarray) -> None:
+        """Mark the items of entries whose shingle, at a place, is the least of either window that holds the place."""
+        u = self.upper[self.item[entry]]
+        key = u * len(_SEEDS) + self.perm[entry]
+        order = np.argsort(key, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1, [len(order)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a == b:
+                continue
+            k = order[a:b]
+            size, seed = int(u[k[0]]), _SEEDS[self.perm[entry[k[0]]]]
+            block, which = np.unique(place[k] // size, return_inverse=True)
+            wanted = np.unique(np.concatenate([block - 1, block, block + 1]))
+            wanted = wanted[wanted >= 0]
+            inside = wanted[:, None] * size + np.arange(size)
+            low = np.where(inside < len(own), tb.mix(own[np.minimum(inside, len(own) - 1)] ^ seed), np.uint64(2**64 - 1)).min(axis=1)
+            of = lambda x: np.where(x >= 0, low[np.searchsorted(wanted, np.maximum(x, 0)).clip(max=len(low) - 1)], np.uint64(0))  # noqa: B023, E731
+            least = np.maximum(np.minimum(of(block), of(block + 1)), np.minimum(of(block - 1), of(block)))  # of the two windows the one that asks less
+            found[self.item[entry[k[tb.mix(own[place[k]] ^ seed) == least[which]]]]] = True
 
     def leaks(self, own: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
         """(item, its shingles, those of them that the document has) of all leaks."""
