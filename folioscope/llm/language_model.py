@@ -6,7 +6,7 @@ quarter of all classes, groups of the others by their first and last bytes. The
 as a softmax of q . (C1 r1 + C2 r2) + b; within a group a word has (c + 1) / (N_b + V_b + 1), with one such share for all
 unknown words, so probabilities over known words and the unknown one add up to 1.
 
-What is gathered grows with the corpus: the counts with its words, the classes with the root of its tokens, from 512 up
+What is gathered grows with the corpus: the counts with its words, the classes with the root of its tokens, from 1,024 up
 to 4,096 (from 4 x 10**9 tokens on; the exact normaliser is a table over pairs of classes). The context of a token is two
 classes at any size.
 
@@ -41,7 +41,7 @@ from folioscope.llm import textbuf as tb
 from folioscope.llm.quality import remainder
 from folioscope.llm.store import table, written
 
-LEAST, MOST, SHAPES, HEAD = 512, 4096, 1024, 1 << 19
+LEAST, MOST, SHAPES, HEAD = 1024, 4096, 1024, 1 << 19
 SHARE, LEARNERS, CHUNK = 1 << 20, 4096, 1 << 16
 #: The sixteenths of the documents, by their hash, that each round learns from.
 ROUNDS = ((0, 1), (1, 4), (4, 8), (8, 16))

@@ -74,7 +74,7 @@ def test_probabilities_add_up():
 
 def test_classes_grow_with_the_corpus():
     sizes = [op.classes_for(n) for n in (0, 10**6, 10**8, 5 * 10**8, 10**13)]
-    assert sizes == [512, 512, 1024, 2048, 4096]
+    assert sizes == [1024, 1024, 1024, 2048, 4096]
 
 
 def test_score_equals_token_by_token(spark, sf, monkeypatch):
