@@ -73,8 +73,11 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             ids, first = _joined(batch.column(0))
-            pairs = np.unique(np.repeat(np.arange(batch.num_rows), np.diff(first)) * IDS + ids)
-            df += np.bincount(pairs % IDS, minlength=IDS)
+            wide = np.uint32 if batch.num_rows < 1 << 16 else np.uint64
+            pairs = np.sort((np.repeat(np.arange(batch.num_rows, dtype=wide), np.diff(first)) << wide(16)) | ids)
+            new = np.ones(len(pairs), bool)
+            new[1:] = pairs[1:] != pairs[:-1]
+            df += np.bincount((pairs[new] & wide(IDS - 1)).astype(np.int64), minlength=IDS)
     used = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(df[used])], ["id", "df"])
 
@@ -113,8 +116,9 @@ class Inverted:
         self.n = n = len(tails)
         size = np.array([len(t) for t in tails], np.int64)
         doc, ids = np.repeat(np.arange(n), size), np.concatenate(tails) if n else np.zeros(0, np.uint16)
-        key, tf = np.unique(ids.astype(np.int64) * n + doc, return_counts=True) if len(ids) else (np.zeros(0, np.int64),) * 2
-        ids, doc = key // max(n, 1), key % max(n, 1)
+        wide = np.uint32 if IDS * n < 1 << 32 else np.uint64
+        key, tf = np.unique(ids.astype(wide) * wide(n) + doc.astype(wide), return_counts=True) if len(ids) else (np.zeros(0, wide),) * 2
+        ids, doc = (x.astype(np.int64) for x in np.divmod(key, wide(max(n, 1))))
         weight = (stats.idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / stats.mean))).astype(np.float32)
         count = np.bincount(ids, minlength=IDS)
         common = np.flatnonzero(count > max(DENSE * n, 8))
