@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import difflib
+import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from folioscope.functions import terms as tm
 from folioscope.functions import text as tx
@@ -32,37 +34,74 @@ def new_state() -> Column:
     return F.struct(*(v.alias(k) for k, v in named.items())).cast(STATE)
 
 
-def apply_event(s: Column, e: Column) -> Column:
-    """The state after an event (ts, score); a null score is an exposure."""
-    score = e["score"]
-    quality = F.rint(score * 5)
-    fail = quality < 3
-    reps = F.when(fail, 0).otherwise(s["reps"] + 1)
-    interval = F.when(fail | (reps == 1), 1).when(reps == 2, 6).otherwise(F.rint(s["interval"] * s["ease"]).cast("int"))
-    ease = rounded(F.greatest(F.lit(LEAST_EASE), s["ease"] + 0.1 - (5 - quality) * (0.08 + (5 - quality) * 0.02)), 3)
-    scored = {
-        "mastery": rounded(s["mastery"] + ALPHA * (score - s["mastery"]), 4),
-        "attempts": s["attempts"] + 1,
-        "correct": s["correct"] + F.when(score >= CORRECT, 1).otherwise(0),
-        "exposures": s["exposures"],
-        "ease": ease,
-        "interval": interval,
-        "reps": reps,
-        "due": e["ts"] + F.make_dt_interval(interval),
-        "last_score": rounded(score, 3),
-        "last_seen": e["ts"],
-    }
-    seen = {k: s[k] for k in scored} | {"exposures": s["exposures"] + 1, "last_seen": e["ts"]}
-    row = lambda d: F.struct(*(v.alias(k) for k, v in d.items())).cast(STATE)
-    return F.when(score.isNull(), row(seen)).otherwise(row(scored))
+def _half_up(x: float, digits: int) -> float:
+    """As rounded, of a number."""
+    scale = float(10**digits)
+    return math.floor(x * scale + 0.5) / scale
+
+
+def advance(state: tuple, score: float | None) -> tuple:
+    """(mastery, attempts, correct, exposures, ease, interval, reps) after one event; a null or NaN score is an exposure."""
+    mastery, attempts, correct, exposures, ease, interval, reps = state
+    if score is None or score != score:
+        return mastery, attempts, correct, exposures + 1, ease, interval, reps
+    quality = round(score * 5)
+    reps = 0 if quality < 3 else reps + 1
+    interval = 1 if reps < 2 else 6 if reps == 2 else round(interval * ease)
+    ease = _half_up(max(LEAST_EASE, ease + 0.1 - (5 - quality) * (0.08 + (5 - quality) * 0.02)), 3)
+    return _half_up(mastery + ALPHA * (score - mastery), 4), attempts + 1, correct + (score >= CORRECT), exposures, ease, interval, reps
+
+
+NEW = (0.0, 0, 0, 0, EASE, 0, 0)
+FOLDED = [("mastery", "double"), *((k, "int") for k in ("attempts", "correct", "exposures")), ("ease", "double"), ("interval", "int"), ("reps", "int"), ("due", "long"), ("last_score", "double"), ("last_seen", "long")]
+DAY, ROWS = 86_400_000_000, 1 << 13
+
+
+def _folded(n: int):
+    """Sorted batches of n key columns, the time in microseconds and the score: a row for each key, when its last event is past."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.float64() if t == "double" else pa.int32() if t == "int" else pa.int64() for _, t in FOLDED]
+        key, state, due, last, seen, done, types = None, NEW, None, None, None, [], []
+        same = lambda a, b: all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))
+
+        def table() -> pa.RecordBatch:
+            arrays = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), types + kinds, strict=True)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(arrays, [f"c{k}" for k in range(len(arrays))])
+
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in range(n)]
+            columns = [batch.column(k).to_pylist() for k in range(n + 2)]
+            for *own, ts, score in zip(*columns, strict=True):
+                if key is None or not same(own, key):
+                    if key is not None:
+                        done.append((*key, *state, due, last, seen))
+                    if len(done) >= ROWS:
+                        yield table()
+                    key, state, due, last = own, NEW, None, None
+                state, seen = advance(state, score), ts
+                if score is not None and score == score:
+                    due, last = None if ts is None else ts + state[5] * DAY, _half_up(score, 3)
+        if key is not None:
+            done.append((*key, *state, due, last, seen))
+        if done:
+            yield table()
+
+    return run
 
 
 def fold(events: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """State of each key after its events (keys, ts, score, and an id for ties) in order of time."""
+    """State of each key after its events (keys, ts, score, and an id for ties) in order of time, equal ones by score.
+
+    The steps round, so a log has to be walked in order. Events are sorted by Spark, which spills, and pass in Arrow batches
+    with one state at a time: the log of one learner may hold any share of all events and never is in memory as a whole."""
     order = order or ["ts", "event_id"]
-    log = F.sort_array(F.collect_list(F.struct(*order, F.col("score").cast("double").alias("score"))))
-    states = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(*keys).agg(F.aggregate(log, new_state(), apply_event).alias("state"))
-    return states.select(*keys, "state.*")
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("score", F.col("score").cast("double"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order, "score").select(*keys, F.unix_micros("ts"), "score")
+    schema = StructType([StructField(k, events.schema[k].dataType) for k in keys] + [StructField(k, {"double": DoubleType(), "int": IntegerType(), "long": LongType()}[t]) for k, t in FOLDED])
+    states = rows.mapInArrow(_folded(len(keys)), schema)
+    return states.select(*keys, *(F.timestamp_micros(k).alias(k) if t == "long" else k for k, t in FOLDED))
 
 
 def status(attempts: Column, mastery: Column, exposures: Column) -> Column:

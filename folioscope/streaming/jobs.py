@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from folioscope.operators.mastery import ALPHA, CORRECT, EASE, LEAST_EASE
+from folioscope.operators.mastery import NEW, advance
 from folioscope.sources.store import content_hash, place
 
 
@@ -41,27 +41,9 @@ def dedup_content(spark: SparkSession, path: str) -> DataFrame:
 STATE = "mastery double, attempts int, correct int, exposures int, ease double, interval int, reps int"
 
 
-def _half_up(x: float, digits: int) -> float:
-    import math
-
-    return math.floor(x * 10**digits + 0.5) / 10**digits
-
-
-def advance(state: tuple, score: float | None) -> tuple:
-    """The state after one event, as the batch fold has it."""
-    mastery, attempts, correct, exposures, ease, interval, reps = state
-    if score is None or score != score:
-        return mastery, attempts, correct, exposures + 1, ease, interval, reps
-    quality = round(score * 5)
-    reps = 0 if quality < 3 else reps + 1
-    interval = 1 if reps < 2 else 6 if reps == 2 else round(interval * ease)
-    ease = _half_up(max(LEAST_EASE, ease + 0.1 - (5 - quality) * (0.08 + (5 - quality) * 0.02)), 3)
-    return _half_up(mastery + ALPHA * (score - mastery), 4), attempts + 1, correct + (score >= CORRECT), exposures, ease, interval, reps
-
-
 def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    now = state.get if state.exists else (0.0, 0, 0, 0, EASE, 0, 0)
+    now = state.get if state.exists else NEW
     for score in rows["score"]:
         now = advance(now, None if pd.isna(score) else float(score))
     state.update(now)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 import re
 
 import pytest
@@ -194,6 +195,29 @@ def test_mastery(spark):
     assert s.reps == 0 and fold(spark, [0.55]).reps == 1
 
 
+def test_logs_of_any_length_and_odd_keys(spark):
+    """One learner with most events over many batches, null keys, times and scores, NaN, ties: as a walk through each log."""
+    rnd = random.Random(11)
+    scores = [None, float("nan"), 0.0, 0.3, 0.55, 0.7, 1.0]
+    rows = [(None if rnd.random() < 0.05 else "hot" if rnd.random() < 0.7 else f"u{rnd.randint(0, 900)}", rnd.choice([None, 1.5, float("nan")]), None if rnd.random() < 0.02 else rnd.randint(0, 500), rnd.randint(0, 3), rnd.choice(scores)) for _ in range(30000)]
+    df = spark.createDataFrame(rows, "u string, c double, s long, event_id int, score double").withColumn("ts", F.timestamp_seconds("s"))
+    got = {(r.u, str(r.c)): r for r in ms.fold(df, ["u", "c"]).withColumn("due", F.unix_seconds("due")).withColumn("last_seen", F.unix_seconds("last_seen")).collect()}
+    logs = {}
+    rank = lambda x: (0, 0) if x is None else (2, 0) if x != x else (1, x)
+    for u, c, *event in sorted(rows, key=lambda r: [rank(x) for x in r[2:]]):
+        logs.setdefault((u, str(c)), []).append(event)
+    assert set(got) == set(logs)
+    for key, log in logs.items():
+        state, due, last = ms.NEW, None, None
+        for at, _, score in log:
+            state = ms.advance(state, score)
+            if score is not None and score == score:
+                due, last = None if at is None else at + 86400 * state[5], score
+        r = got[key]
+        assert (r.mastery, r.attempts, r.correct, r.exposures, r.ease, r.interval, r.reps, r.due, r.last_score, r.last_seen) == (*state, due, last, log[-1][0])
+    assert ms.fold(df.limit(0), ["u", "c"]).collect() == []
+
+
 def test_retrieval_finds_the_document(spark):
     docs = spark.createDataFrame([(0, "cats purr softly"), (1, "dogs bark loudly at cats"), (2, "stones are silent")], "doc_id int, text string")
     asked = spark.createDataFrame([(0, "Why do dogs bark?")], "q int, question string")
