@@ -438,6 +438,20 @@ def relation_evidence(spark, sf):
     return ps.relation_evidence(a.ctx, pairs, a.mentions, kept)
 
 
+@query
+def concept_quotes(spark, sf):
+    """What SQL can tell of concept_evidence: its counts and quotes, without the place in the path."""
+    texts_of = lambda k: F.coalesce(F.array_join(F.transform(k, lambda r: r["text"]), "\n"), F.lit("")).alias(k)
+    return concept_evidence(spark, sf).select("doc_id", "term", "n_sentences", "n_sections", "n_mentions", "total_sections", texts_of("definitions"), texts_of("mentions"))
+
+
+@query
+def relation_counts(spark, sf):
+    """What SQL can tell of relation_evidence: sentences and sections in common, and how many sentences are quoted."""
+    rows = relation_evidence(spark, sf)
+    return rows.select("doc_id", "a", "b", "weight", "shared_sentences", "shared_sections", F.coalesce(F.size("sentences"), F.lit(0)).alias("quotes"))
+
+
 def _dag(spark):
     return inline(spark, "doc_id string, source string, target string", [("d", u, v) for u, v in fx.DAG])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from folioscope.functions import terms as tm
 from folioscope.functions.lexicon import content_stops, english
 from folioscope.plans import fixtures as fx
 from folioscope.plans.tables import BLOCK
@@ -257,6 +258,24 @@ raw_ AS (SELECT *, round((0.30 * frequency + 0.25 * spread + 0.25 * centrality)
 topics AS MATERIALIZED (SELECT *, round(raw / max(raw) OVER (PARTITION BY doc_id), 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY raw DESC, ord) AS pos FROM (SELECT * FROM raw_ WHERE raw > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY raw DESC, ord) = 1)) WHERE pos <= 20)
 """
 
+WIDE = lambda x: x.replace("[\\w-]", "[\\p{L}\\p{N}\\p{M}_-]").replace("'", "''")
+STATED = f"'(?i)' || b.p || '{WIDE(tm.IS_A)}' || a.p || '|' || b.p || '{WIDE(tm.USES)}' || a.p || '|' || a.p || '{WIDE(tm.USED_FOR)}' || b.p"
+#: big: topics with an introduction; used: topics in the introductions of others, outside their names; said: dependencies stated in a sentence.
+NEEDS = TOPICS + f""", big AS MATERIALIZED (SELECT t.doc_id, t.term, t.key, t.score <= 0.30 AS minor, '\\b' || terms.body || '\\b' AS p, i.intro FROM topics t JOIN terms USING (doc_id, term)
+  JOIN (SELECT doc_id, term, coalesce(min(sent) FILTER (WHERE defines), min(sent)) AS intro FROM heard WHERE words >= 6 GROUP BY ALL) i USING (doc_id, term)),
+near_ AS (SELECT b.doc_id, b.term, z.sent FROM big b JOIN sents y ON y.doc_id = b.doc_id AND y.sent = b.intro JOIN sents z ON z.doc_id = b.doc_id AND z.sec = y.sec AND z.sent >= b.intro AND z.sent <= b.intro + 2
+  UNION SELECT doc_id, term, sent FROM heard JOIN big USING (doc_id, term) WHERE defines AND words >= 6 QUALIFY row_number() OVER (PARTITION BY doc_id, term ORDER BY sent) <= 3),
+spot AS MATERIALIZED (SELECT n.doc_id, f.term AS a, n.term AS b, n.sent, f.at, f.stop FROM near_ n JOIN found f ON f.doc_id = n.doc_id AND f.sent = n.sent AND f.term <> n.term),
+hidden AS (SELECT DISTINCT s.* FROM spot s JOIN found o ON o.doc_id = s.doc_id AND o.sent = s.sent AND o.term = s.b WHERE o.at <= s.at AND s.stop <= o.stop),
+used AS (SELECT doc_id, a, b, count(DISTINCT sent) AS hits, min(sent) AS hit FROM (SELECT * FROM spot EXCEPT SELECT * FROM hidden) GROUP BY ALL),
+real_ AS MATERIALIZED (SELECT doc_id, term, sent FROM heard JOIN big USING (doc_id, term) WHERE words >= 6),
+mutual AS (SELECT x.doc_id, x.term AS a, y.term AS b, x.sent FROM real_ x JOIN real_ y ON x.doc_id = y.doc_id AND x.sent = y.sent AND x.term <> y.term QUALIFY row_number() OVER (PARTITION BY x.doc_id, x.term, y.term ORDER BY x.sent) <= 150),
+said AS (SELECT m.doc_id, m.a, m.b, min(m.sent) AS sent FROM mutual m JOIN big a ON a.doc_id = m.doc_id AND a.term = m.a JOIN big b ON b.doc_id = m.doc_id AND b.term = m.b JOIN sents z ON z.doc_id = m.doc_id AND z.sent = m.sent
+  WHERE regexp_matches(z.text, '(?i){WIDE(tm.IS_A)}|{WIDE(tm.USES)}|{WIDE(tm.USED_FOR)}') AND regexp_matches(replace(z.text, '_', '.'), {STATED}) GROUP BY ALL),
+need AS (SELECT a.doc_id, a.term AS source, b.term AS target, b.intro AS b_intro, CASE WHEN a.intro < b.intro THEN coalesce(hits, 0) ELSE 0 END AS h, hit, said.sent AS said, a.key <> '' AND b.key LIKE '% ' || a.key AS special
+  FROM big a JOIN big b ON a.doc_id = b.doc_id AND a.term <> b.term AND NOT a.minor LEFT JOIN used u ON u.doc_id = a.doc_id AND u.a = a.term AND u.b = b.term LEFT JOIN said ON said.doc_id = a.doc_id AND said.a = a.term AND said.b = b.term)
+"""
+
 
 def _probe_pieces(after: str) -> str:
     """What ``after`` selects from (doc_id, t: text, hs: matches, gs: what lies between) of each probe term."""
@@ -293,6 +312,29 @@ SELECT doc_id, count(*) AS n_edges, round(sum(weight), 6) AS weight FROM e WHERE
 round(round(frequency, 9), 3) AS frequency, round(round(spread, 9), 3) AS spread, CAST(0 AS DOUBLE) AS heading, round(round(centrality, 9), 3) AS centrality, round(round(boost, 9), 3) AS exam_boost FROM topics""",
     "concept_edges": TOPICS
     + "SELECT doc_id, source, target, round(weight, 3) AS weight FROM edge WHERE weight >= 0.10 AND EXISTS (SELECT 1 FROM topics t WHERE t.doc_id = edge.doc_id AND t.term = edge.source) AND EXISTS (SELECT 1 FROM topics t WHERE t.doc_id = edge.doc_id AND t.term = edge.target)",
+    "prereq_edges": NEEDS
+    + """SELECT doc_id, source, target, CAST(CASE WHEN h = 0 AND said IS NULL THEN 1 ELSE h + CASE WHEN said IS NULL THEN 0 ELSE 2 END END AS DOUBLE) AS weight,
+CASE WHEN said IS NOT NULL THEN 'stated_dependency' WHEN h > 0 THEN 'introduced_using' ELSE 'specialization' END AS reason, CAST(CASE WHEN said IS NOT NULL THEN said WHEN h > 0 THEN hit ELSE b_intro END AS INT) AS evidence
+FROM need WHERE h > 0 OR said IS NOT NULL OR special""",
+    "relation_counts": TOPICS
+    + """, told_ AS MATERIALIZED (SELECT DISTINCT doc_id, term, sent, sent_sec FROM found),
+shown AS MATERIALIZED (SELECT doc_id, source AS a, target AS b FROM edge WHERE weight >= 0.10 AND EXISTS (SELECT 1 FROM topics t WHERE t.doc_id = edge.doc_id AND t.term = edge.source) AND EXISTS (SELECT 1 FROM topics t WHERE t.doc_id = edge.doc_id AND t.term = edge.target)),
+ss AS (SELECT p.doc_id, p.a, p.b, count(*) AS n FROM shown p JOIN told_ x ON x.doc_id = p.doc_id AND x.term = p.a JOIN told_ y ON y.doc_id = p.doc_id AND y.term = p.b AND y.sent = x.sent GROUP BY ALL),
+home AS MATERIALIZED (SELECT DISTINCT doc_id, term, sent_sec FROM told_),
+sc AS (SELECT p.doc_id, p.a, p.b, count(*) AS n FROM shown p JOIN home x ON x.doc_id = p.doc_id AND x.term = p.a JOIN home y ON y.doc_id = p.doc_id AND y.term = p.b AND y.sent_sec = x.sent_sec GROUP BY ALL)
+SELECT p.doc_id, p.a, p.b, round(coalesce(sc.n, 0) / size_.n, 3) AS weight, coalesce(ss.n, 0) AS shared_sentences, coalesce(sc.n, 0) AS shared_sections, CAST(least(coalesce(ss.n, 0), 5) AS INT) AS quotes
+FROM shown p JOIN size_ USING (doc_id) LEFT JOIN ss USING (doc_id, a, b) LEFT JOIN sc USING (doc_id, a, b)""",
+    "concept_quotes": TOPICS
+    + f""", own_ AS MATERIALIZED (SELECT h.doc_id, h.term, h.sent, h.words, h.defines AND h.words >= 4 AS d, z.sec, CASE WHEN length(z.text) > 320 THEN regexp_replace(left(z.text, 320), ' [^ ]*$', '') || '…' ELSE z.text END AS quote
+  FROM heard h JOIN topics USING (doc_id, term) JOIN sents z ON z.doc_id = h.doc_id AND z.sent = h.sent),
+def_ AS (SELECT *, coalesce(d, FALSE) AND sum(CASE WHEN d THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, term ORDER BY sent) <= 2 AS chosen FROM own_),
+free_ AS (SELECT * FROM def_ WHERE NOT chosen AND words >= 6 QUALIFY row_number() OVER (PARTITION BY doc_id, term, sec ORDER BY sent) = 1),
+four AS (SELECT * FROM free_ QUALIFY row_number() OVER (PARTITION BY doc_id, term ORDER BY sent) <= 4),
+cnt AS (SELECT doc_id, term, count(*) AS n FROM found GROUP BY ALL)
+SELECT o.doc_id, o.term, o.n_sentences, o.n_sections, cnt.n AS n_mentions, size_.n AS total_sections, coalesce(dd.t, '') AS definitions, coalesce(mm.t, '') AS mentions
+FROM (SELECT doc_id, term, count(*) AS n_sentences, count(DISTINCT sec) AS n_sections FROM own_ GROUP BY ALL) o JOIN cnt USING (doc_id, term) JOIN size_ USING (doc_id)
+LEFT JOIN (SELECT doc_id, term, string_agg(quote, {NL} ORDER BY sent) AS t FROM def_ WHERE chosen GROUP BY ALL) dd USING (doc_id, term)
+LEFT JOIN (SELECT doc_id, term, string_agg(quote, {NL} ORDER BY sent) AS t FROM four GROUP BY ALL) mm USING (doc_id, term)""",
     "study_priority": TOPICS
     + """SELECT doc_id, coverage, 'Top 5 topics cover ~' || coverage || '% of this document' AS study_priority FROM (SELECT doc_id, CAST(CASE WHEN sum(score) > 0 THEN round_even(round(sum(CASE WHEN pos <= 5 THEN score ELSE 0 END) / sum(score) * 100, 9), 0) ELSE 0 END AS INT) AS coverage FROM topics GROUP BY doc_id)""",
 }

@@ -69,6 +69,42 @@ def test_ways_between_concepts_of_all_documents(spark, sf):
     assert all(steps[d, u].pos < steps[d, v].pos for d, u, v in want)
 
 
+def test_learning_path_of_all_documents(spark, sf):
+    """Edges go only where a longer way or a cycle accounts for it; the order is that of a plain choice, step by step."""
+    q = catalogue.queries()
+    intro = {(r.doc_id, r.term): r.intro for r in q["concept_introductions"](spark, sf).collect()}
+    docs = {}
+    for r in q["prereq_edges"](spark, sf).collect():
+        docs.setdefault(r.doc_id, ([], [], []))[0].append((r.source, r.target))
+    for r in q["learning_path_edges"](spark, sf).collect():
+        docs[r.doc_id][1].append((r.source, r.target))
+    for r in q["learning_path"](spark, sf).orderBy("pos").collect():
+        docs.setdefault(r.doc_id, ([], [], []))[2].append(r)
+    for d, (edges, kept, steps) in docs.items():
+        ways, after = longest(kept), {}
+        for u, v in edges:
+            after.setdefault(u, set()).add(v)
+        assert set(kept) <= set(edges) and all(ways[e] == 1 for e in kept)
+        for u, v in set(edges) - set(kept) - set(ways):  # taken out of a cycle
+            seen, todo = set(), [v]
+            while todo:
+                x = todo.pop()
+                todo += after.get(x, set()) - seen
+                seen |= after.get(x, set())
+            assert u in seen
+        names = [r.term for r in steps]
+        total = {n: sum(u == n for u, _ in ways) for n in names}
+        key = lambda n: (-total[n], intro.get((d, n), float("inf")), n)  # noqa: B023, E731
+        order = []
+        while len(order) < len(names):
+            order.append(min((n for n in names if n not in order and all(u in order for u, v in kept if v == n)), key=key))
+        assert order == names
+        for r in steps:
+            assert r.unlocks_total == total[r.term]
+            assert r.unlocks == [n for n in names if (r.term, n) in kept] and r.prerequisites == [n for n in names if (n, r.term) in kept]
+    assert any(edges for edges, _, _ in docs.values())
+
+
 def plain_chunks(text, size, overlap):
     """Break positions looked up character by character."""
     breaks = [(i, 2 if text[i] == "." else 1) for i in range(len(text)) if text[i] == "\n" or text[i : i + 2] == ". "]
