@@ -380,6 +380,12 @@ def chosen(sizes: list[tuple], most: int, windows: int) -> list[int]:
     return out
 
 
+def candidates(held: DataFrame, most: int) -> DataFrame:
+    """(label, h, size, n) of the ``most`` rows of each label with the least h: the driver's share, also where a doc_id repeats."""
+    parts = [held.where(F.col("label") == k).select("label", "h", "size", "n").orderBy("h", "size", "n").limit(most) for k in (0, 1)]
+    return parts[0].union(parts[1])
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, windows: int = WINDOWS) -> Model:
     """The model, learned from labels whose remainder modulo 3 is not 1. The driver gets windows, no texts."""
     learn = remainder(3) != 1
@@ -387,7 +393,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, windows: int =
     rows = parts[0].union(parts[1]).select(F.monotonically_increasing_id().alias("n"), "h", "text", "label")
     shape = "n long, h long, label int, size long, keys binary, windows binary, words array<struct<key: long, runs: binary>>"
     held = written(rows.mapInArrow(_windowed, shape), "windows")
-    light = held.select("label", "h", "size", "n").collect()  # 2 * most rows, but for doc_ids that repeat
+    light = candidates(held, most).collect()
     pick = [n for k in (0, 1) for n in chosen([(r.h, r.size, r.n) for r in light if r.label == k], most, windows)]
     wanted = held.join(F.broadcast(docs.sparkSession.createDataFrame([(n,) for n in pick], "n long")), "n")
     table_ = wanted.select("h", "label", "keys", "windows").toArrow()  # 2 * windows windows at the most

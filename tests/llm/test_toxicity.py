@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import toxicity as op
 from tests.llm.common import AWKWARD, documents, with_clashes
@@ -152,3 +153,16 @@ def test_driver_gets_windows_not_texts(spark, sf):
     back = op.Words.joined([op.Words.unpacked(*w.packed(), table) for w in own])
     for name in ("keys", "bucket", "n", "split", "tri", "windows", "text", "first"):
         assert np.array_equal(getattr(whole, name), getattr(back, name)), name
+
+
+def test_a_repeated_id_sends_no_more_to_the_driver(spark):
+    docs = documents(spark, [f"word{k} and more" for k in range(40)]).unionByName(spark.range(900).selectExpr("7L AS doc_id", "concat('again ', id) AS text"), allowMissingColumns=True)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    held = op.labelled(docs, labels, "toxic", op.remainder(3) != 1, 30).select("label", "h", F.lit(1).alias("size"), F.monotonically_increasing_id().alias("n"))
+    held = op.written(held, "held")
+    assert held.count() > 900
+    got = op.candidates(held, 5).collect()
+    assert sorted(r.label for r in got) == [0] * 5 + [1] * 5
+    for k in (0, 1):
+        assert sorted((r.h, r.n) for r in got if r.label == k) == sorted((r.h, r.n) for r in held.where(F.col("label") == k).collect())[:5]
+    assert op.train(docs, labels, most=5).score is not None
