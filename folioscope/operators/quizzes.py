@@ -35,7 +35,7 @@ def excerpts(ctx: Context, wanted: DataFrame, most: int = SOURCES) -> DataFrame:
     """(doc_id, pos from 0, label, text): the chunks of a document that speak most of its wanted term (doc_id, term).
 
     A document has an index of its own; only chunks that hold a word of the term are weighed."""
-    own = stored(chunks(ctx.texts).select("doc_id", "chunk", "page_start", "page_end", "text", tm.tokens(F.col("text")).alias("t")), "chunks")
+    own = stored(chunks(ctx.texts).select("doc_id", "chunk", "page_start", "page_end", "text", tm.tokens(F.col("text")).alias("t")), "chunks", "doc_id")
     sizes = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean"))
     words = wanted.select("doc_id", F.explode(F.array_distinct(tm.tokens(F.col("term")))).alias("w"))
     held = own.select("doc_id", "chunk", F.size("t").alias("length"), "t").join(words, "doc_id")
@@ -48,13 +48,13 @@ def excerpts(ctx: Context, wanted: DataFrame, most: int = SOURCES) -> DataFrame:
     return best.join(own, ["doc_id", "chunk"]).select("doc_id", (F.col("rank") - 1).alias("pos"), label.alias("label"), "text")
 
 
-def next_quiz(ctx: Context, topics: DataFrame, found: DataFrame, steps: DataFrame, edges: DataFrame, states: DataFrame, asked: DataFrame, replies: DataFrame, now: Column) -> DataFrame:
+def next_quiz(ctx: Context, topics: DataFrame, found: DataFrame, steps: DataFrame, edges: DataFrame, states: DataFrame, asked: DataFrame, replies: DataFrame, now: Column, heard: DataFrame | None = None) -> DataFrame:
     """(doc_id, concept, reason, kind, question, answer, generated_by, context, quotes): a model's question, given its reply
     (doc_id, raw), else a cloze from the first of the concept's quotes that can be blanked. kind is null where there is not
     enough text for either."""
-    wanted = stored(targets(topics, steps, edges, states, asked, now), "targets")
-    evidence = ps.concept_evidence(ctx, topics.join(wanted.select("doc_id", "term"), ["doc_id", "term"], "left_semi"), found, steps, edges)
-    evidence = stored(evidence.select("doc_id", "term", "definitions", "mentions"), "evidence")
+    wanted = stored(targets(topics, steps, edges, states, asked, now), "targets", "doc_id")
+    evidence = ps.concept_evidence(ctx, topics.join(wanted.select("doc_id", "term"), ["doc_id", "term"], "left_semi"), found, steps, edges, heard=heard)
+    evidence = stored(evidence.select("doc_id", "term", "definitions", "mentions"), "evidence", "doc_id")
     held = rp.quiz_context(evidence, excerpts(ctx, wanted), ["doc_id"])
     quotes = F.concat(F.coalesce("definitions", F.expr("array()")), F.coalesce("mentions", F.expr("array()")))
     blanks = evidence.select("doc_id", tm.pattern(F.col("term")).alias("p"), F.posexplode(quotes).alias("k", "q"))

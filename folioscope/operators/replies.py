@@ -77,7 +77,7 @@ def merge(analysis: cc.Analysis, proposals: DataFrame) -> tuple[DataFrame, DataF
     same = known.groupBy("doc_id", F.col("own_key").alias("key")).agg(F.min("own").alias("same"))
     longer = asked.join(known, "doc_id").where((F.col("m") > F.col("n")) & F.rlike("own", F.col("p"))).groupBy("doc_id", "ord").agg(F.min_by("own_key", "pos").alias("container"))
     new = asked.where("term is not null").select("doc_id", "term").distinct()
-    found = stored(cc.mentions(ctx, new), "mentions")
+    found = stored(cc.mentions(ctx, new), "mentions", "doc_id")
     forms = cc.surface_forms(found)
     rows = asked.join(same, ["doc_id", "key"], "left").join(longer, ["doc_id", "ord"], "left").join(forms, ["doc_id", "term"], "left")
     from pyspark.sql import Window
@@ -87,17 +87,27 @@ def merge(analysis: cc.Analysis, proposals: DataFrame) -> tuple[DataFrame, DataF
     before = Window.partitionBy("doc_id", "key").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.coalesce(F.max((free & heard).cast("int")).over(before), F.lit(0)) == 1
     verdict = F.when(F.col("term").isNull(), "invalid").when(F.col("same").isNotNull(), "endorsed").when(F.col("container").isNotNull(), "container").when(earlier, "repeated").when(~heard, "rejected").otherwise("added")
-    rows = stored(rows.withColumn("verdict", verdict), "verdicts")
+    rows = stored(rows.withColumn("verdict", verdict), "verdicts", "doc_id")
     endorsed = rows.where("verdict in ('endorsed', 'added')").select("doc_id", "key").union(rows.where("verdict = 'container'").select("doc_id", F.col("container").alias("key")))
     endorsed = endorsed.union(topics.where("llm_endorsed").select("doc_id", tm.term_key(F.col("term")))).distinct()
     touched = asked.select("doc_id").distinct()
     old = topics.select("doc_id", "term", F.col("pos").alias("ord")).join(touched, "doc_id", "left_semi")
     added = rows.where("verdict = 'added'").select("doc_id", F.col("form").alias("term"), (F.col("ord") + 1000).alias("ord"))
-    terms = stored(old.union(added).groupBy("doc_id", "term").agg(F.min("ord").alias("ord")), "terms")
-    merged, edges = cc.rank(ctx, terms, stored(cc.mentions(ctx, terms), "mentions"), endorsed, cc.MERGED)
+    terms = stored(old.union(added).groupBy("doc_id", "term").agg(F.min("ord").alias("ord")), "terms", "doc_id")
+    merged, edges = cc.rank(ctx, terms, *sought(analysis, terms), endorsed, cc.MERGED)
     return merged, edges, rows.select("doc_id", "ord", "raw", "term", "verdict", "form")
 
 
+def sought(analysis: cc.Analysis, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mentions of terms (doc_id, term), and what concepts.heard() gives of them: only terms that are not among the
+    analysis' candidates are looked for in the text."""
+    key = ["doc_id", "term"]
+    fresh = stored(cc.mentions(analysis.ctx, terms.select(*key).join(analysis.candidates, key, "left_anti")), "mentions", "doc_id")
+    own = lambda rows: rows.join(terms.select(*key), key, "left_semi")
+    found = stored(own(analysis.mentions).union(fresh), "mentions", "doc_id")
+    return found, stored(own(analysis.heard).union(cc.heard(analysis.ctx, fresh)), "heard", "doc_id")
+
+
 def parse_quiz(raw: Column) -> Column:
     """struct<question, answer> of a reply, or null."""
     data = F.try_variant_get(F.try_parse_json(raw), "$", "map<string,variant>")
