@@ -6,6 +6,7 @@ import pytest
 
 from folioscope.operators import concepts as cc
 from folioscope.operators import context as cx
+from folioscope.operators import paths as ps
 from folioscope.operators import whole as wh
 from folioscope.plans import catalogue
 
@@ -49,6 +50,36 @@ def test_whole_documents_are_cut_as_the_steps_cut_them(both, name):
     same(*(getattr(a.ctx, name).where("doc_id is not null").drop("title") for a in both))
 
 
+@pytest.fixture(scope="module")
+def paths(both):
+    old, new = both
+    edges = ps.prerequisite_edges(old.ctx, old.topics, old.mentions, old.heard)
+    steps, kept = ps.learning_path(old.topics, ps.introductions(old.heard), edges)
+    return (edges, steps, kept, ps.reachability(kept)), wh.Path(new.rows)
+
+
+@pytest.mark.parametrize(("k", "name"), [(0, "edges"), (1, "steps"), (2, "kept"), (3, "ways")])
+def test_paths_of_whole_documents_are_those_of_the_steps(paths, k, name):
+    same(paths[0][k], getattr(paths[1], name))
+
+
+def test_only_the_first_shared_sentences_state_a_dependency():
+    for gap, stated in ((ps.SHARED - 1, True), (ps.SHARED, False)):
+        said = [(0, 9, "Plain alpha goes along with a plain omega here.")] * gap + [(0, 10, "The omega relies on alpha in all of these cases.")]
+        found = {t: {s: [(text.index(t), text.index(t) + 5)] for s, (_, _, text) in enumerate(said)} for t in ("alpha", "omega")}
+        heard = {t: [(s, size, False) for s, (_, size, _) in enumerate(said)] for t in found}
+        edges = wh.prerequisites([("alpha", "core"), ("omega", "core")], found, heard, said)[1]
+        assert [e[3] for e in edges] == (["stated_dependency"] if stated else [])
+
+
+def test_a_statement_can_hold_a_match_that_is_no_mention():
+    """Of "tree tree trees" only the first two words are a mention; the statement has the last two."""
+    text = "Here every plain tree tree trees uses good grass of all kinds."
+    found = {"tree tree": {0: [(text.index("tree"), text.index("tree") + 9)]}, "grass": {0: [(text.index("grass"), text.index("grass") + 5)]}}
+    edges = wh.prerequisites([("grass", "core"), ("tree tree", "core")], found, {t: [(0, 12, False)] for t in found}, [(0, 12, text)])[1]
+    assert [(e[0], e[1], e[3]) for e in edges] == [("grass", "tree tree", "stated_dependency")]
+
+
 def test_topics_write_one_table(spark, sf, monkeypatch):
     """The nine tables of the steps, most with the text in them, were the disk that failed."""
     made = []
