@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.operators import concepts as cc
 from folioscope.operators import context as cx
@@ -35,7 +36,7 @@ def both(spark):
 
 def same(old, new):
     cols = old.columns
-    plain = lambda rows: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in map(tuple, rows.select(*cols).collect()))
+    plain = lambda rows: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in map(tuple, rows.select(*cols).collect())), key=repr)
     assert [t for c, t in old.dtypes] == [dict(new.dtypes)[c] for c in cols]
     assert plain(new) == plain(old)
 
@@ -63,6 +64,17 @@ def test_paths_of_whole_documents_are_those_of_the_steps(paths, k, name):
     same(paths[0][k], getattr(paths[1], name))
 
 
+def test_evidence_of_whole_documents_is_that_of_the_steps(both, paths):
+    (old, new), ((_, steps, kept, _), _) = both, paths
+    same(ps.concept_evidence(old.ctx, old.topics, old.mentions, steps, kept, heard=old.heard).select(*wh.concept_evidence(new).columns), wh.concept_evidence(new))
+
+
+def test_relations_of_whole_documents_are_those_of_the_steps(both, paths):
+    (old, new), ((_, _, kept, _), _) = both, paths
+    pairs = old.edges.select("doc_id", F.col("source").alias("a"), F.col("target").alias("b"))
+    same(ps.relation_evidence(old.ctx, pairs, old.mentions, kept), wh.relation_evidence(new))
+
+
 def test_only_the_first_shared_sentences_state_a_dependency():
     for gap, stated in ((ps.SHARED - 1, True), (ps.SHARED, False)):
         said = [(0, 9, "Plain alpha goes along with a plain omega here.")] * gap + [(0, 10, "The omega relies on alpha in all of these cases.")]
