@@ -41,9 +41,17 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def _distinct(ids: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The distinct ids, ascending; held: a flag for every id, all unset before and after."""
+    held[ids] = True
+    out = np.flatnonzero(held).astype(np.uint16)
+    held[out] = False
+    return out
+
+
 def _tokens(path: str, end: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, True)
+        own, held = encoder(path, True), np.zeros(IDS, bool)
         for batch in batches:
             for at, ids, first in own.encode(batch.column(2)):
                 ids, first = with_end(ids, first, end)
@@ -53,7 +61,7 @@ def _tokens(path: str, end: int, window: int):
                     whole = (b - a) // window
                     crcs.append([crc(ids[a + k * window : a + (k + 1) * window]) for k in range(whole)])
                     tails.append(ids[a + whole * window : b].tobytes())
-                    asks.append(np.unique(ids[a:b]).tobytes() if whole and len(tails[-1]) else None)
+                    asks.append(_distinct(ids[a:b], held).tobytes() if whole and len(tails[-1]) else None)
                 columns = [pa.array(np.diff(first)), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary()), pa.array(asks, pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), *columns], ["rid", "doc_id", "doc_tokens", "crcs", "tail", "ask"])
 
@@ -122,7 +130,7 @@ class Inverted:
         weight = (stats.idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / stats.mean))).astype(np.float32)
         count = np.bincount(ids, minlength=IDS)
         common = np.flatnonzero(count > max(DENSE * n, 8))
-        self.row = np.full(IDS, -1, np.int64)
+        self.row, self.held = np.full(IDS, -1, np.int64), np.zeros(IDS, bool)
         self.row[common] = np.arange(len(common))
         dense = self.row[ids] >= 0
         self.matrix = np.zeros((len(common), n), np.float32)
@@ -132,7 +140,7 @@ class Inverted:
 
     def scores(self, query: np.ndarray) -> np.ndarray:
         """BM25 of all tails for a query's distinct ids."""
-        q = np.unique(query).astype(np.int64)
+        q = _distinct(query, self.held).astype(np.int64)
         rows = self.row[q]
         out = self.matrix[rows[rows >= 0]].sum(axis=0, dtype=np.float64)
         q = q[rows < 0]

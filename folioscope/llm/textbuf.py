@@ -144,3 +144,9 @@ def per_row(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     total = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=total[1:])
     return total[offs[1:]] - total[offs[:-1]]
+
+
+def any_in(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each range has a flag that is set; flags are few, so their places are searched and not all flags summed."""
+    at = np.flatnonzero(flags)
+    return np.searchsorted(at, ends) > np.searchsorted(at, starts)
