@@ -53,3 +53,9 @@ def test_refined_paths_write_only_the_analysis(spark, sf, monkeypatch):
     monkeypatch.setattr(catalogue, "_MEMO", {})
     assert catalogue.queries()["llm_refine_path"](spark, sf).count()
     assert made == ["analysis"]
+
+
+@pytest.mark.parametrize("text", [*TEXTS, *MORE, "a", " a1-b ", "\ud800 x", "x²y \U0001f600z"])
+def test_word_bounds_are_those_of_the_pattern(text):
+    low = wh.folded(text)
+    assert list(zip(*wh.word_bounds(low), strict=True)) == [m.span() for m in wh.TOKENS.finditer(low)]
